@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canon, mojibake, split
+from leafmill.llm import canon, leak, mojibake, pii, split
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,32 @@ def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonicalize(table(spark, d, "md_documents").select("doc_id", "markdown")).select("doc_id", "canonical")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_repair, p6_found, p6_canonical)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles and the evaluation items that leaked into them."""
+    return leak.matches(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The longest verbatim match of each article and item."""
+    return leak.matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Articles no item leaked into."""
+    return leak.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data by article, type and value."""
+    return pii.found(table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with placeholders."""
+    return pii.detect(table(spark, d, "documents")).select("doc_id", "redacted", "mentions")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_repair, p6_found, p6_canonical, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p3_found": """
