@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canon, leak, mojibake, pii, split
+from leafmill.llm import canon, leak, mojibake, pii, split, tokens
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(table(spark, d, "md_documents"), table(spark, d, "profiles"))
 
 
+def p4_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every source, language and domain."""
+    return tokens.budget(table(spark, d, "md_documents"), table(spark, d, "documents"))
+
+
+def p4_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by source, by language and by domain."""
+    return tokens.slices(table(spark, d, "md_documents"), table(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with garbled or lost characters."""
     return mojibake.garbled(table(spark, d, "md_documents"))
@@ -67,7 +77,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.detect(table(spark, d, "documents")).select("doc_id", "redacted", "mentions")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_repair, p6_found, p6_canonical, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_canonical, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p3_found": """
