@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canon, leak, mojibake, pii, split, tokens
+from leafmill.llm import canon, leak, mojibake, pack, pii, split, tokens
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,21 @@ def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonicalize(table(spark, d, "md_documents").select("doc_id", "markdown")).select("doc_id", "canonical")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles larger than a window."""
+    return pack.oversized(table(spark, d, "documents"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The window of each article."""
+    return pack.pack(table(spark, d, "documents"))
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    """How full the windows are."""
+    return pack.usage(pack.pack(table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Articles and the evaluation items that leaked into them."""
     return leak.matches(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -77,7 +92,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.detect(table(spark, d, "documents")).select("doc_id", "redacted", "mentions")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_canonical, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_canonical, p7_found, p7_pack, p7_usage, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p3_found": """
