@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import canon, langid, leak, mojibake, pack, pii, split, tokens
+from leafmill.llm import canon, langid, leak, mojibake, ocr, pack, pii, split, tokens
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(table(spark, d, "md_documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defects of scanned pages."""
+    return ocr.defects(table(spark, d, "md_documents"))
+
+
+def p2_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without scan noise."""
+    return ocr.repair(table(spark, d, "md_documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents above the limit of their profile."""
     return split.oversize(table(spark, d, "md_documents"), table(spark, d, "profiles"))
@@ -102,7 +112,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.detect(table(spark, d, "documents")).select("doc_id", "redacted", "mentions")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_canonical, p7_found, p7_pack, p7_usage, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repair, p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_canonical, p7_found, p7_pack, p7_usage, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p3_found": """
