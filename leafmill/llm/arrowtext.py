@@ -51,12 +51,17 @@ def to_strings(points: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None
     return out.cast(pa.string())
 
 
+#: Rows handed to an operator at once; with whole texts this bounds its arrays.
+ROWS = 512
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
-    """df through fn, batch by batch. fn may return None for no rows."""
+    """df through fn, at most ROWS rows at a time. fn may return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, ROWS):
+                if (out := fn(batch.slice(at, ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
