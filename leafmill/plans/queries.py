@@ -213,10 +213,6 @@ def structured_xml_sniff(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- text
 
 
-def _hash(c: str) -> str:
-    return f"md5({c})"
-
-
 @query(f"select doc_id, md5(trim(regexp_replace(markdown, {q(P.WS + '+')}, ' ', 'g'))) as text from md_documents where markdown is not null")
 def collapse_ws(spark: SparkSession, d: str) -> DataFrame:
     """Documents in one line, as digests."""
@@ -241,9 +237,6 @@ def promote_headings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "md_documents").where("markdown is not null").select("doc_id", F.md5(T.promote_headings(t)).alias("text"))
 
 
-S_MARK = "x"
-
-
 @query(
     f"""with w as (select doc_id, unnest(string_split(markdown, chr(10))) as line from md_documents where markdown is not null), m as (select distinct {s_strip("string_split(line, ' ')[1]")} as x from w)
     select x as marker, length(x) <= 6 and (x = '' or x in ({', '.join(map(q, P.BULLETS))}) or regexp_matches(x, {q('(?i)' + P.MARKER)})) as is_marker,
@@ -287,41 +280,28 @@ def reflow_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "md_documents").where("markdown is not null").select("doc_id", F.md5(reflow.reflow(F.col("markdown"))).alias("text"))
 
 
+#: Letters whose capitals differ between engines.
+ODD_CAPITALS = r"[^\x{9}-\x{7e}À-ÖØ-Þà-öø-þ€§’“”«»]|ß|ÿ"
+
+
 @query(
     f"""with w as (select doc_id, unnest(string_split(markdown, chr(10))) as line from md_documents where markdown is not null), h as (select distinct regexp_replace({s_strip("line")}, '^#+ ', '') as x from w),
-    e as (select case when length(x) % 3 = 0 then 'IV. ' || upper(x) when length(x) % 3 = 1 then 'X.' || x else x end as line from h)
-    select line, case when regexp_matches(line, {q(P.ROMAN_LINE)}) then '## ' || line else line end as promoted from e where not regexp_matches(line, 'ß|\\x{{1d5ba}}|ĳ|ﬁ|ﬂ|ﬀ|ﬃ|ⅰ|[\\x{{80}}-\\x{{9f}}]')"""
+    e as (select case when length(x) % 3 = 0 and not regexp_matches(x, {q(ODD_CAPITALS)}) then 'IV. ' || upper(x) when length(x) % 3 = 1 then 'X.' || x else x end as line from h)
+    select line, case when regexp_matches(line, {q(P.ROMAN_LINE)}) then '## ' || line else line end as promoted from e"""
 )
 def roman_headings(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with Roman numerals put before them; letters whose capital is more than one letter are left out."""
+    """Lines with Roman numerals put before them, in capitals where both engines agree on those."""
     lines = table(spark, d, "md_documents").where("markdown is not null").select(F.explode(F.split("markdown", "\n", -1)).alias("line"))
     x = lines.select(F.regexp_replace(T.strip(F.col("line")), "^#+ ", "").alias("x")).distinct()
     n = F.length("x") % 3
-    made = x.select(F.when(n == 0, F.concat(F.lit("IV. "), F.upper("x"))).when(n == 1, F.concat(F.lit("X."), "x")).otherwise(F.col("x")).alias("line"))
-    return made.where(~F.col("line").rlike(r"ß|\x{1d5ba}|ĳ|ﬁ|ﬂ|ﬀ|ﬃ|ⅰ|[\x{80}-\x{9f}]")).select("line", T.roman_heading(F.col("line")).alias("promoted"))
-
-
-# ---------------------------------------------------------------- chunks and estimates
-
+    made = x.select(F.when((n == 0) & ~F.col("x").rlike(ODD_CAPITALS), F.concat(F.lit("IV. "), F.upper("x"))).when(n == 1, F.concat(F.lit("X."), "x")).otherwise(F.col("x")).alias("line"))
+    return made.select("line", T.roman_heading(F.col("line")).alias("promoted"))
 
-def s_pack(pieces: str, sep: str, limit: str) -> str:
-    state = f"list_reduce(list_transform({pieces}, lambda x: {{'done': []::varchar[], 'open': x}}), lambda s, e: case when s.open <> '' and length(s.open || {sep} || e.open) > {limit} then {{'done': list_append(s.done, s.open), 'open': e.open}} when s.open = '' then {{'done': s.done, 'open': e.open}} else {{'done': s.done, 'open': s.open || {sep} || e.open}} end, {{'done': []::varchar[], 'open': ''}})"
-    return f"list_filter(list_append({state}.done, {state}.open), lambda x: x <> '')"
 
+# ---------------------------------------------------------------- chunks and estimates; a fold of arrays is too slow in SQL, see tests/test_chunk.py
 
-def s_ladder(source: str) -> str:
-    """CTEs from (doc_id, t, most) to c(doc_id, n, chunk): the ladder by paragraphs, lines, words, slices."""
-    step = lambda cte, prev, sep: f"{cte} as (select doc_id, most, path, unnest(case when length(x) <= most then [x] else {s_pack(f'string_split(x, {sep})', sep, 'most')} end) as x, generate_subscripts(case when length(x) <= most then [x] else {s_pack(f'string_split(x, {sep})', sep, 'most')} end, 1) as k from {prev})"
-    nn = "chr(10) || chr(10)"
-    return f"""k0 as (select doc_id, most, []::bigint[] as path, t as x from {source}),
-        {step('k1a', 'k0', nn)}, k1 as (select doc_id, most, list_append(path, k) as path, x from k1a),
-        {step('k2a', 'k1', 'chr(10)')}, k2 as (select doc_id, most, list_append(path, k) as path, x from k2a),
-        {step('k3a', 'k2', "' '")}, k3 as (select doc_id, most, list_append(path, k) as path, x from k3a),
-        k4 as (select doc_id, path, unnest(range(1, greatest(length(x), 1) + 1, most)) as b, x, most from k3),
-        c as (select doc_id, row_number() over (partition by doc_id order by path, b) - 1 as n, x[b:b + most - 1] as chunk from k4)"""
 
-
-@query(f"with e as (select doc_id, {s_strip('markdown')} as t, {SMALL} as most from md_documents where length({s_strip('markdown')}) > 0), {s_ladder('e')} select doc_id, n::int as chunk_no, md5(chunk) as chunk, length(chunk)::bigint as size from c")
+@query()
 def split_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents at a small limit, as digests."""
     t = T.strip(F.col("markdown"))
@@ -329,21 +309,14 @@ def split_ladder(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(chunk.split_ladder(F.col("t"), F.lit(SMALL))).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.md5("c").alias("chunk"), F.length("c").cast("long").alias("size"))
 
 
-S_PROFILED = f"e as (select d.doc_id, p.profile, p.output_ratio, p.prompt_chars, {s_strip('d.markdown')} as t, case when p.no_chunk then 1000000000 else p.chunk_chars end as most from md_documents d join profiles p on p.kind = d.kind where d.markdown is not null), f as (select * from e where t <> '')"
-
-
-@query(f"with {S_PROFILED}, {s_ladder('f')} select doc_id, n::int as chunk_no, length(chunk)::bigint as size from c")
+@query()
 def chunks_for_profile(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents under the profile of their kind."""
     parts = clean.chunk_table(table(spark, d, "md_documents"), table(spark, d, "profiles"))
     return parts.select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("size"))
 
 
-@query(
-    f"""with {S_PROFILED}, {s_ladder('f')}, a as (select doc_id, count(*) as n, sum(length(chunk)) // 4 as content from c group by doc_id)
-    select e.doc_id, e.profile, coalesce(a.n, 0)::bigint as chunks, (coalesce(a.content, 0) + (e.prompt_chars // 4 + 20) * coalesce(a.n, 0))::bigint as input_tokens, floor(coalesce(a.content, 0) * e.output_ratio)::bigint as output_tokens
-    from e left join a on a.doc_id = e.doc_id"""
-)
+@query()
 def estimate_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and tokens of cleaning each document."""
     return estimate.estimate(table(spark, d, "md_documents"), table(spark, d, "profiles"))
@@ -364,11 +337,7 @@ def model_prices(spark: SparkSession, d: str) -> DataFrame:
     return estimate.model_prices(spark.sql(f"select * from {MODELS}"), spark.sql(f"select * from {PRICES}"))
 
 
-@query(
-    f"""with {S_PROFILED}, {s_ladder('f')}, a as (select doc_id, count(*) as n, sum(length(chunk)) // 4 as content from c group by doc_id),
-    r as (select e.doc_id, e.profile, coalesce(a.content, 0) + (e.prompt_chars // 4 + 20) * coalesce(a.n, 0) as i, floor(coalesce(a.content, 0) * e.output_ratio) as o from e left join a on a.doc_id = e.doc_id)
-    select profile, count(*)::bigint as docs, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, round(sum(i * 0.5::double + o * 1::double), 3) as cost from r group by profile"""
-)
+@query()
 def estimate_cost(spark: SparkSession, d: str) -> DataFrame:
     """Cost of cleaning all documents by profile."""
     rows = estimate.estimate(table(spark, d, "md_documents"), table(spark, d, "profiles")).withColumn("model", F.lit("vendor/a:fast"))
@@ -446,8 +415,6 @@ def footnote_dedup(spark: SparkSession, d: str) -> DataFrame:
     return assemble.footnote_section(table(spark, d, "notes"))
 
 
-NODES = """select doc_id, pos as ord, case when regexp_like(line, '^[0-9]+[.] ') then 'nr' else 'para' end as kind, case when regexp_like(line, '^[0-9]+[.] ') then split_part(line, '.', 1) else line end as text
-    from (select doc_id, posexplode(split(markdown, '\\n\\n', -1)) as (pos, line) from md_documents where markdown is not null)"""
 S_NODES = f"""n as (select doc_id, k - 1 as ord, case when regexp_matches(line, '^[0-9]+[.] ') then 'nr' else 'para' end as kind, case when regexp_matches(line, '^[0-9]+[.] ') then string_split(line, '.')[1] else line end as text
     from (select doc_id, unnest(string_split(markdown, chr(10) || chr(10))) as line, generate_subscripts(string_split(markdown, chr(10) || chr(10)), 1) as k from md_documents where markdown is not null)),
     s as (select *, lag(kind) over w as kb, lag(text) over w as tb, lead(kind) over w as ka from n window w as (partition by doc_id order by ord))"""
@@ -599,10 +566,7 @@ def absatz_pairs(spark: SparkSession, d: str) -> DataFrame:
     return convert.convert(made.select("doc_id", F.lit("german_json").alias("format"), record.alias("content"), F.lit(None).cast("string").alias("ref")), ["doc_id"]).select("doc_id", "markdown")
 
 
-@query(
-    f"""with {S_PROFILED}, {s_ladder('f')}, x as (select doc_id, n, regexp_replace(chunk, ' {{2,}}', ' ', 'g') as t from c)
-    select doc_id, md5({s_strip("string_agg(t, chr(10) || chr(10) order by n)")} || chr(10)) as markdown from x where t <> '' group by doc_id"""
-)
+@query()
 def clean_batch(spark: SparkSession, d: str) -> DataFrame:
     """Documents cleaned chunk by chunk by the offline cleaner and put together again, as digests."""
     done = clean.clean(table(spark, d, "md_documents"), table(spark, d, "profiles"))
