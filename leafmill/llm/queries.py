@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import canon, langid, leak, mojibake, ocr, pack, pii, split, tokens
-from leafmill.session import table
+from leafmill.session import spread
+from leafmill.session import table as read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table; those with whole texts use all cores."""
+    df = read(spark, d, name)
+    return spread(df) if name in ("documents", "md_documents") else df
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of documents that their label does not name."""
     return langid.unnamed(table(spark, d, "md_documents"))
