@@ -283,6 +283,7 @@ NOT_GIVEN = frozenset(
     " lane street avenue road row flat suite apt point square court place drive boulevard personal gespräch interviewt dank danken proben".split()
 )
 NAME_CUES = re.compile(r"(?:thank\w*|done by|interview with|according to|patient\w*|participant|deelnemer|teilnehmer\w*|danken|dank(?:en)?|gespräch mit|remerci\w*|entretien avec|selon|faits par|door|volgens|genomen door|gesprek met|von|durch|par|by|with|contact\w*|dr\.?|prof\.?|mr\.?|mrs\.?|ms\.?|herr\w*|frau|mevrouw|monsieur|mme|m\.)\s*(?:%+\s*)?$", re.IGNORECASE)
+INITIAL = re.compile(rf"[{UP}]\.[ ~\n]*$")
 METHOD = re.compile(r"^(?:[ ~\n]+(?:scheme|lemma|theorem|constant|method|algorithm|equation|data set|dataset|solver|test|transform|distribution|model|process|inequality|conjecture|number|operator|kernel|estimator|lemme|théorème|Verfahren|Satz|Konstante|stelling|methode)\b|--)")
 
 
@@ -366,7 +367,8 @@ def names(text: str, lexicon: Lexicon) -> list[Mention]:
                 first = k
                 while first > 0 and not parts[first][3] and not _is_word(parts[first - 1][2]) and parts[first - 1][2][-1] != ".":
                     first -= 1
-                if k + 1 < len(parts) and parts[k + 1][3] and parts[k + 1][2].lower() in lexicon.given:
+                listed = INITIAL.search(text, max(0, parts[first][0] - 6), parts[first][0])  # an author list: initial, surname
+                if k + 1 < len(parts) and parts[k + 1][3] and parts[k + 1][2].lower() in lexicon.given and not listed:
                     j = k + 1
                     while j + 1 < len(parts) and not parts[j + 1][3] and (parts[j + 1][2].lower() in lexicon.given or parts[j + 1][2][-1] == "."):
                         j += 1
