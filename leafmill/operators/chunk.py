@@ -39,7 +39,8 @@ def split_ladder(text: Column, limit: Column) -> Column:
     lines = lambda x: refine(pack(F.split(x, "\n", -1), "\n", limit), words)
     blocks = pack(F.split(text, "\n\n", -1), "\n\n", limit)
     out = refine(F.when(F.size(blocks) == 0, F.array(text)).otherwise(blocks), lines)
-    return F.when(F.size(out) == 0, F.array(text)).otherwise(out)
+    # a text within the limit that no empty piece leads is one chunk; the fold is for the others
+    return F.when((F.length(text) <= limit) & ~text.startswith("\n\n"), F.array(text)).when(F.size(out) == 0, F.array(text)).otherwise(out)
 
 
 def chunks_for(text: Column, limit: Column, no_chunk: Column) -> Column:

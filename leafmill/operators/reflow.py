@@ -31,7 +31,8 @@ def reflow_block(block: Column) -> Column:
         return F.struct(F.when(soft, s["done"]).otherwise(F.concat(s["done"], now, F.lit("\n"))).alias("done"), F.when(soft, joined).otherwise(line).alias("line"))
 
     rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.when(F.size(lines) > 0, F.aggregate(rest, start, add, lambda s: F.concat(s["done"], s["line"])))
+    # one line stays, and lines below the least width never join; only other blocks need the fold
+    return F.when(F.size(lines) == 1, F.get(lines, F.lit(0))).when((F.size(lines) > 0) & (width < LEAST_WIDTH), F.array_join(lines, "\n")).when(F.size(lines) > 0, F.aggregate(rest, start, add, lambda s: F.concat(s["done"], s["line"])))
 
 
 def reflow(text: Column) -> Column:
