@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,27 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("leafmill")
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once a context, unless they find it on their path anyway."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    found = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    if not getattr(context, "_leafmill_shipped", False):
+        context._leafmill_shipped = True
+        if str(root) not in found and "site-packages" not in str(root):
+            archive = Path(tempfile.mkdtemp()) / "leafmill.zip"  # the driver serves it to the executors
+            with zipfile.ZipFile(archive, "w") as out:
+                for file in sorted(root.glob("leafmill/**/*.py")):
+                    out.write(file, file.relative_to(root))
+            context.addPyFile(str(archive))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
