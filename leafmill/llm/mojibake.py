@@ -10,16 +10,22 @@ matched spans are replaced.
   elsewhere. Patterns are therefore garbled three-character contexts: a first pass counts, in how many documents each
   context with a non-ASCII centre stands; contexts above a share of all documents are garbled by every pair. A pair is
   accepted for a document when its patterns explain most of the document's characters that the pair could have made.
+* Text stored as UTF-7 and read as ASCII leaves a base64 run for one or more characters ("caf+AOk-"). Runs are decoded,
+  not looked up, so any number of characters is covered; a run counts when it is UTF-16 to the last bit and all its
+  characters occur in text. The closing hyphen may be missing where UTF-7 lets it: behind a letter that the run goes on,
+  or in a document with a closed run.
 * U+FFFD and C1 controls are never right; where a character was lost nothing is guessed.
 
-Defined results: null, blank and pure ASCII texts are not affected and stay as they are; text without a match is
+Defined results: null and blank texts, and pure ASCII texts without entities or UTF-7 runs, are not affected and stay as they are; text without a match is
 returned unchanged; lost characters stay U+FFFD and the row says so. Rows are independent, so repeated rows and ties
 need no rule. Output columns are fixed; extra columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
+import re
 from collections import Counter
 
 import ahocorasick
@@ -38,6 +44,10 @@ PLAIN = {i: (chr(i).lower() if chr(i).isalpha() else "0" if chr(i).isdigit() els
 #: Letters that stand for Latin look-alikes as often as for a wrong decoding; alone they prove nothing.
 LOOK_ALIKES = frozenset("АВЕКМНОРСТХаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι")
 ROUNDS = 6
+#: The begin of a UTF-7 run (the first base64 letters are those of all characters in `shifted`), and what may follow.
+UTF7 = re.compile(r"\+(?=[ABDIJ2+/])([A-Za-z0-9+/]{3,8})")
+UTF7_REST = re.compile(r"([A-Za-z0-9+/]+)(-?)")
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
 @functools.cache
@@ -72,9 +82,59 @@ def sequences() -> ahocorasick.Automaton:
     return out
 
 
+@functools.cache
+def shifted() -> frozenset[str]:
+    """Characters UTF-7 puts in runs: those of western text, what a wrong reading makes of them, punctuation and symbols."""
+    ranges = ((0x80, 0x370), (0x2000, 0x2400), (0x2500, 0x2700), (0xFB00, 0xFB07), (0xFFFC, 0xFFFE), (0x1F000, 0x1FB00))
+    return frozenset("!\"#$%&*;<=>@[\\]^_`{|}~" + "".join(chr(c) for a, b in ranges for c in range(a, b)) + "".join(x for name in READ for x in decoder(name)[0x80:]))
+
+
+def utf7_run(body: str, whole: bool) -> str | None:
+    """The characters of a base64 run; nothing if one is not in `shifted` or a whole run is not UTF-16 to the last bit."""
+    left = len(body) * 6 % 16
+    if whole and (left >= 6 or BASE64.index(body[-1]) % (1 << left)):
+        return None
+    raw = base64.b64decode(body + "A" * (-len(body) % 4))[: len(body) * 6 // 16 * 2]
+    text = raw.decode("utf-16-be", "surrogatepass" if whole else "ignore")
+    return text if shifted().issuperset(text) else None
+
+
+def utf7_runs(text: str) -> list[tuple[int, int, str]]:
+    """(begin, end, characters) of the UTF-7 runs of a text."""
+    closed, open_ = [], []
+    at = 0
+    while m := UTF7.search(text, at):
+        out = None
+        if utf7_run(m[1], False) is not None:  # the first characters settle nearly all cases, so base64 data costs little
+            rest = UTF7_REST.match(text, m.start() + 1)
+            out = utf7_run(rest[1], True)
+        if out is None:
+            at = m.start() + 1  # a plus sign of the text may stand before the run
+            continue
+        at = rest.end()
+        prior = text[m.start() - 1 : m.start()]
+        (closed if rest[2] or prior.islower() and out.isalpha() and out.islower() else open_).append((m.start(), at, out))
+    return sorted(closed + open_) if closed else []
+
+
+def undo_utf7(text: str) -> tuple[str, int]:
+    """(text with UTF-7 runs decoded, number of runs). Where each plus sign is of a run or written "+-", those are plus signs, too."""
+    runs = utf7_runs(text) if "+" in text else []
+    if not runs:
+        return text, 0
+    out, at = [], 0
+    for begin, end, characters in runs:
+        out += [text[at:begin], characters]
+        at = end
+    out.append(text[at:])
+    if all("+" not in x.replace("+-", "") for x in out[::2]):
+        out[::2] = [x.replace("+-", "+") for x in out[::2]]
+    return "".join(out), len(runs)
+
+
 def undo_sequences(text: str) -> tuple[str, int]:
-    """(text with garbled sequences replaced, number of spans), until no sequence is left."""
-    spans = 0
+    """(text with UTF-7 runs and garbled sequences replaced, number of spans), until no sequence is left."""
+    text, spans = undo_utf7(text)
     for _ in range(ROUNDS):
         hits = [(end, *value) for end, value in sequences().iter_long(text)]
         if not hits:
@@ -92,7 +152,7 @@ def undo_sequences(text: str) -> tuple[str, int]:
 
 
 def suspicious(text: str) -> bool:
-    return not text.isascii() or "&#" in text
+    return not text.isascii() or "&#" in text or UTF7.search(text) is not None
 
 
 @functools.cache

@@ -199,6 +199,19 @@ def test_every_pair_of_encodings_comes_back():
     assert mojibake.undo_sequences("SÃO TELMÃO, L’ÂGE et PÂTÉ")[1] == 0
 
 
+def test_utf7_runs_come_back(spark):
+    for text in ("het café aan de kade", "financiële", "“Über” – naïve ½ ~ a\\b", "1 + 1 = één", "I’ll’", "’s avonds é” x", "ok 😀 é"):
+        assert mojibake.undo_sequences(text.encode("utf-7").decode("ascii"))[0] == text, text
+    assert mojibake.undo_sequences("x+y en caf+AOk-") == ("x+y en café", 1)
+    assert mojibake.undo_sequences("caf+AOk aan") == ("café aan", 1)
+    assert mojibake.undo_sequences("caf+AMMAqQ-") == ("café", 2)
+    for text in ("a+b- c", "C+AME x", "1+A1-B2", "+31-20-1234567", "data:x;base64,iVBO+AOkRw0KGgo+AAAA", "+ABCDEF-", "10 +- 2"):
+        assert mojibake.undo_sequences(text) == (text, 0), text
+    rows = [(1, "het caf+AOk- aan de kade"), (2, "het cafe aan de kade"), (3, "int+AOk-rieur +IB4-De Oever+IB0-"), (4, "“het” caf+AOk-"), (5, "+AOkgGQ-s")]
+    got = {r.doc_id: (r.repaired, r.spans) for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, markdown string")).collect()}
+    assert got == {1: ("het café aan de kade", 1), 2: (rows[1][1], 0), 3: ("intérieur „De Oever”", 3), 4: ("“het” café", 1), 5: ("é’s", 1)}
+
+
 def test_single_bytes_need_context(spark):
     clean = [(k, FR + DE + ES) for k in range(30)]
     bad = FR.replace("’", "'").encode("cp1252").decode("cp1251")
