@@ -284,6 +284,7 @@ NOT_GIVEN = frozenset(
 )
 NAME_CUES = re.compile(r"(?:thank\w*|done by|interview with|according to|patient\w*|participant|deelnemer|teilnehmer\w*|danken|dank(?:en)?|gespräch mit|remerci\w*|entretien avec|selon|faits par|door|volgens|genomen door|gesprek met|von|durch|par|by|with|contact\w*|dr\.?|prof\.?|mr\.?|mrs\.?|ms\.?|herr\w*|frau|mevrouw|monsieur|mme|m\.)\s*(?:%+\s*)?$", re.IGNORECASE)
 INITIAL = re.compile(rf"[{UP}]\.[ ~\n]*$")
+LISTED = re.compile(rf"[{UP}]\.[ ~\n]*(?:{PARTICLE}[ ~\n]+)*$")
 METHOD = re.compile(r"^(?:[ ~\n]+(?:scheme|lemma|theorem|constant|method|algorithm|equation|data set|dataset|solver|test|transform|distribution|model|process|inequality|conjecture|number|operator|kernel|estimator|lemme|théorème|Verfahren|Satz|Konstante|stelling|methode)\b|--)")
 
 
@@ -292,10 +293,11 @@ def surnames_in(text: str) -> set[str]:
 
 
 class Lexicon(NamedTuple):
-    """Surnames and given names, lower case."""
+    """Surnames and given names, lower case. A word may be both; `either` has the surnames that are given names less often than authors."""
 
     surnames: frozenset[str]
     given: frozenset[str]
+    either: frozenset[str] = frozenset()
 
 
 def _parts(text: str, m: re.Match) -> list[tuple[int, int, str, bool]]:
@@ -314,21 +316,36 @@ def _is_word(word: str) -> bool:
     return word.lower() not in PARTICLES and word[-1] != "." and (word[0].isupper() or word[:2] in ("d'", "d’", "l'", "l’"))
 
 
-def word_pairs(text: str) -> set[tuple[str, str]]:
-    """(word, next word) of chains, particles and initials skipped; behind a comma the other way round."""
+def word_pairs(text: str) -> set[tuple[str, str, bool]]:
+    """(word, next word, in a list of authors) of chains, particles and initials skipped; behind a comma the other way round.
+
+    In a list of authors the first word stands behind an initial, or a comma joins it to another author.
+    """
     out = set()
     for m in CHAIN.finditer(text):
-        last = None
-        for _, _, word, comma in _parts(text, m):
+        last, last_listed = None, False
+        parts = _parts(text, m)
+        for k, (begin, _, word, comma) in enumerate(parts):
             if not _is_word(word):
                 continue
-            low = word.lower()
-            if last is not None:
-                out.add((low, last) if comma else (last, low))
-            last = low
+            low, listed = word.lower(), LISTED.search(text, max(0, begin - 30), begin) is not None
+            if last is not None and comma:
+                out.add((low, last, listed or last_listed or k + 1 < len(parts) and parts[k + 1][3]))
+            elif last is not None:
+                out.add((last, low, last_listed))
+            last, last_listed = low, listed
     return out
 
 
+def _stands_as_given(text: str, begin: int, low: str, lexicon: Lexicon) -> bool:
+    """Whether a word that begins a chain of names is a given name there. Behind an initial a surname is an author's; a surname that is seldom a given name needs a cue."""
+    if low not in lexicon.surnames:
+        return low in lexicon.given
+    if low not in lexicon.given and low not in lexicon.either or LISTED.search(text, max(0, begin - 30), begin):
+        return False
+    return low in lexicon.given or NAME_CUES.search(text[max(0, begin - 40) : begin]) is not None
+
+
 def names(text: str, lexicon: Lexicon) -> list[Mention]:
     out = []
     for m in CHAIN.finditer(text):
@@ -338,7 +355,7 @@ def names(text: str, lexicon: Lexicon) -> list[Mention]:
             begin, _, word, _ = parts[k]
             low = word.lower()
             # given names, middle names and initials, particles, surname
-            if _is_word(word) and low in lexicon.given:
+            if _is_word(word) and _stands_as_given(text, begin, low, lexicon):
                 j, last = k + 1, None
                 while j < len(parts) and not parts[j][3]:
                     part = parts[j][2]
@@ -354,7 +371,7 @@ def names(text: str, lexicon: Lexicon) -> list[Mention]:
                     k = last + 1
                     continue
                 # an unknown surname behind a given name counts with a cue
-                if k + 1 < len(parts) and not parts[k + 1][3]:
+                if low in lexicon.given and k + 1 < len(parts) and not parts[k + 1][3]:
                     j = k + 1
                     while j < len(parts) - 1 and not parts[j][3] and (not _is_word(parts[j][2]) or parts[j][2].lower() in lexicon.given):
                         j += 1
@@ -372,9 +389,11 @@ def names(text: str, lexicon: Lexicon) -> list[Mention]:
                     j = k + 1
                     while j + 1 < len(parts) and not parts[j + 1][3] and (parts[j + 1][2].lower() in lexicon.given or parts[j + 1][2][-1] == "."):
                         j += 1
-                    out.append(Mention(parts[first][0], parts[j][1], "name", 5))
-                    k = j + 1
-                    continue
+                    # surnames that are given names, too, and more behind a comma: a list of surnames
+                    if not (parts[k + 1][2].lower() in lexicon.surnames and j + 1 < len(parts) and parts[j + 1][3]):
+                        out.append(Mention(parts[first][0], parts[j][1], "name", 5))
+                        k = j + 1
+                        continue
             k += 1
     return out
 
@@ -413,30 +432,35 @@ def learn_names(df: DataFrame, column: str = "text", share: float = 1e-5) -> Lex
     """Surnames from all author lists, and given names from what stands before them, over all rows.
 
     A word must occur in `share` of all documents (two at least), so what comes to the driver is bounded by the names
-    a document holds divided by the share. A given name must stand with two different surnames and be none itself.
+    a document holds divided by the share. A given name must stand with two different surnames. One that is an author's
+    surname, too, must do so outside lists of authors; it is a given name anywhere if it does so as often as authors
+    have it, else only where the context says so (`Lexicon.either`).
     """
     texts = df.where(F.col(column).isNotNull()).select(column)
     least = max(2, int(share * df.count()))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: Counter[tuple[str | None, str]] = Counter()
+        seen: Counter[tuple[str | None, str, bool]] = Counter()
         for text in batch.column(0).to_pylist():
-            seen.update((None, s.lower()) for s in surnames_in(text) if len(s) > 1)
+            seen.update((None, s, True) for s in {s.lower() for s in surnames_in(text)} if len(s) > 1)
             seen.update(word_pairs(text))
         pairs = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["given", "surname", "docs"])
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([p[2] for p in pairs], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["given", "surname", "listed", "docs"])
 
-    seen = written(map_arrow(texts, one, "given string, surname string, docs long").groupBy("given", "surname").agg(F.sum("docs").alias("docs")), "names")
-    authors = seen.where(F.col("given").isNull() & (F.col("docs") >= least)).select("surname")
+    seen = written(map_arrow(texts, one, "given string, surname string, listed boolean, docs long").groupBy("given", "surname", "listed").agg(F.sum("docs").alias("docs")), "names")
+    authors = seen.where(F.col("given").isNull() & (F.col("docs") >= least)).select("surname", F.col("docs").alias("author"))
     given = (
         seen.where("given is not null")
-        .join(authors, "surname")
-        .groupBy("given")
-        .agg(F.sum("docs").alias("docs"), F.count("*").alias("with"))
-        .join(authors.withColumnRenamed("surname", "given"), "given", "left_anti")
+        .join(authors.select("surname"), "surname")
+        .join(authors.withColumnRenamed("surname", "given"), "given", "left")
+        .where("author is null or not listed")
+        .groupBy("given", "author")
+        .agg(F.sum("docs").alias("docs"), F.countDistinct("surname").alias("with"))
         .where((F.col("docs") >= least) & (F.col("with") >= 2))
     )
-    return Lexicon(frozenset(r.surname for r in authors.collect()), frozenset(r.given for r in given.collect() if r.given not in NOT_GIVEN and len(r.given) > 2))
+    rows = [r for r in given.collect() if r.given not in NOT_GIVEN and len(r.given) > 2]
+    mainly = frozenset(r.given for r in rows if r.author is None or r.docs >= r.author)
+    return Lexicon(frozenset(r.surname for r in authors.collect()), mainly, frozenset(r.given for r in rows) - mainly)
 
 
 def detect(df: DataFrame, id_column: str = "doc_id", column: str = "text", lexicon: Lexicon | None = None) -> DataFrame:

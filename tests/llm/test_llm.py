@@ -335,3 +335,15 @@ def test_names_are_learned(spark):
     assert got == {(k, "name", n) for k in range(4) for n in ("Odette Dunmarrow", "Odette Veldhoorn")}
     assert {r.doc_id: r.redacted for r in pii.detect(df).where("doc_id > 8").collect()} == {9: None, 10: ""}
     assert pii.found(empty(spark)).count() == 0
+
+
+def test_names_that_are_also_surnames(spark):
+    rows = [(k, f"\\author{{A.~Becker \\and B.~Klein}}\nWe met Thomas {('Becker', 'Klein')[k % 2]} there. Cites C. Thomas Klein.") for k in range(6)]
+    rows += [(10 + k, "J. Thomas, and K. Garcia, and L. Becker, wrote. Garcia Klein and Garcia Becker wrote.") for k in range(2)]
+    rows += [(20 + k, "M. Garcia, and N. Klein, and B. van der Becker, and others") for k in range(5)]
+    rows += [(30, "We thank Garcia Klein. Becker, Thomas too. Lists: Becker, Thomas, Klein. J. Thomas Klein is cited; Thomas alone."), (31, "Garcia Klein alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = pii.learn_names(df)
+    assert lexicon == pii.Lexicon(frozenset({"becker", "klein", "thomas", "garcia"}), frozenset({"thomas"}), frozenset({"garcia"}))
+    want = {(k, "name", f"Thomas {('Becker', 'Klein')[k % 2]}") for k in range(6)} | {(30, "name", "Garcia Klein"), (30, "name", "Becker, Thomas")}
+    assert {tuple(r) for r in pii.found(df).collect()} == want
