@@ -31,10 +31,10 @@ from leafmill.llm.tokens import VOCABULARY, PieceCounts, pieces_pattern
 from leafmill.session import written
 
 WINDOW = 4096
-#: Articles in a shard on average, buckets of hashed terms, and terms of a seed that are searched (its rarest).
+#: Articles in a shard on average, buckets of hashed terms, and the share of a shard's articles above which a term is stored as a row of all.
 SHARD = 1500
 BUCKETS = 1 << 17
-QUERY_TERMS = 24
+COMMON = 1 / 16
 K1, B = 1.2, 0.75
 WORD = re.compile(r"^ ?([^\W\d_]{3,})$")
 
@@ -95,21 +95,24 @@ class Index:
         np.add.at(length, doc, tf)
         weight = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1e-9)))
         order = np.argsort(flat, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
-        self.bucket, start = np.unique(flat[order], return_index=True)
-        self.start = np.append(start, len(flat))
-        self.terms, self.idf = terms, idf
+        doc, flat, weight = doc[order], flat[order], weight[order].astype(np.float32)
+        bucket, start, size = np.unique(flat, return_index=True, return_counts=True)
+        common = size > COMMON * len(terms)
+        self.bucket, self.start, self.doc, self.weight = bucket, np.append(start, len(flat)), doc, weight
+        self.row = np.where(common, np.cumsum(common) - 1, -1)  # at most articles' terms / COMMON rows
+        self.rows = np.zeros((int(common.sum()), len(terms)), np.float32)
+        at = np.repeat(self.row, size)
+        self.rows[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        self.terms = terms
 
     def scores(self, seed: int, docs: int) -> np.ndarray:
-        """BM25 of all articles for the rarest terms of the seed."""
-        own = self.terms[seed]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argsort(-self.idf[own], kind="stable")[:QUERY_TERMS]]
-        at = np.searchsorted(self.bucket, own)
-        spans = [slice(self.start[k], self.start[k + 1]) for k in at]
-        if not spans:
-            return np.zeros(docs, np.float32)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), docs).astype(np.float32)
+        """BM25 of all articles for all terms of the seed."""
+        at = np.searchsorted(self.bucket, self.terms[seed])
+        out = self.rows[self.row[at[self.row[at] >= 0]]].sum(axis=0, dtype=np.float32)
+        spans = [slice(self.start[k], self.start[k + 1]) for k in at[self.row[at] < 0]]
+        if spans:
+            out = out + np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), docs).astype(np.float32)
+        return out
 
 
 def closest(left: np.ndarray, unused: np.ndarray, score: np.ndarray, rank: np.ndarray, room: int) -> list[int]:

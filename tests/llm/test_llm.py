@@ -183,6 +183,21 @@ def test_related_articles_share_windows():
     assert sum(max(map(k.count, set(k))) for k in kinds.values()) >= 10
 
 
+def test_scores_are_bm25_of_all_terms():
+    rng = np.random.default_rng(7)
+    terms = [np.sort(rng.choice(300, 40 + k, replace=False)).astype(np.int32) for k in range(50)] + [np.zeros(0, np.int32)]
+    terms[0], terms[1] = np.arange(60, dtype=np.int32), np.array([3, 59, 299], np.int32)
+    freqs = [rng.integers(1, 9, len(t)).astype(np.int16) for t in terms]
+    idf = rng.random(300).astype(np.float32) + 0.1
+    index = pack.Index(terms, freqs, idf, 150.0)
+    for seed in range(len(terms)):
+        want = np.zeros(len(terms))
+        for d, (own, tf) in enumerate(zip(terms, freqs)):
+            length = pack.K1 * (1 - pack.B + pack.B * tf.sum() / 150.0)
+            want[d] = sum(idf[t] * n * (pack.K1 + 1) / (n + length) for t, n in zip(own, tf.astype(float)) if t in terms[seed])
+        assert np.allclose(index.scores(seed, len(terms)), want, rtol=1e-4), seed
+
+
 # ---------------------------------------------------------------- p5
 
 
