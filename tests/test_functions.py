@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions import patterns as P
 from leafmill.functions import route as R
 from leafmill.functions import text as T
 
@@ -80,3 +81,24 @@ def test_white_space_is_what_python_takes_for_it(pattern):
     own = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), getattr(P, pattern))
     spaces = {chr(c) for c in range(0x3001) if chr(c).isspace()} - ({"\n"} if pattern == "WS_IN_LINE" else set())
     assert {s for s in spaces if not re.fullmatch(own, s)} == set()
+
+
+def test_all_articles_are_sniffed(spark, tmp_path):
+    from leafmill.plans import queries as core
+
+    far = "é" * 3990  # 7,980 bytes: the mark behind stands across the end of the head or before it
+    texts = ["café", "x", "é", "<p>é <consid", far, None, far + "<act", "<" + far + "<article>", "", "y", "<" + far + "1234567890<act>", "<" + far + "12345678901234567<act>", "ascii", "z", "é" * 100 + "<act>", "é" * 99 + "<act>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(k):
+        if k % 4 == 1:
+            made = "x" * 300 + "<ARTICLE>"
+        elif texts[k] is None:
+            return None
+        else:
+            made = {0: '<?xml version="1.0"?><act>', 2: "<html>", 3: ""}[k % 4] + texts[k]
+        head = made.encode()[:8000]
+        return b"<" in head[:200] and any(m.encode() in head.upper() for m in P.STRUCTURED_XML)
+
+    got = {r.doc_id: r.structured for r in core.structured_xml_sniff_all(spark, str(tmp_path)).collect()}
+    assert got == {k: brute(k) for k in range(len(texts))}
