@@ -5,7 +5,7 @@ articles with BM25 weights whose document frequencies are those of the whole cor
 fixed size, so the frequencies are one bounded vector). In a shard the largest unused article seeds a window, the
 index returns the unused articles in order of their score, and those that fit fill the window until a third of it is
 left; the rest takes the unused article, or the two of them, that leave least room, the better score on ties. Shards have a bounded number of articles, so memory and time of a task do
-not depend on the corpus.
+not depend on the corpus. Related articles in other shards are not found; the more shards, the more of them are missed.
 
 An article above the window is cut into full windows of its own; its rest is packed like an article.
 
