@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.arrowtext import map_arrow
 from leafmill.llm.tokens import VOCABULARY, PieceCounts, pieces_pattern
-from leafmill.session import written
+from leafmill.llm.store import written
 
 WINDOW = 4096
 #: Articles in a shard on average, buckets of hashed terms, and the share of a shard's articles above which a term is stored as a row of all.

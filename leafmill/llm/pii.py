@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrowtext import map_arrow
-from leafmill.session import written
+from leafmill.llm.store import written
 
 LEAST = 3
 #: White space inside a mention: blanks, ties, and one line break with the comment sign of the next line.

@@ -3,19 +3,18 @@
 A byte-level BPE never merges across the pieces its pattern cuts a text into, so a document's count is the sum over
 its pieces, and a piece needs to be tokenized once however often it occurs.
 
-1. The scan stage cuts texts into pieces and writes, per batch of documents, one row for each distinct piece with the
-   documents it stands in and how often (postings). Rows are as many as distinct pieces in a batch, not as words.
-2. Rows are partitioned by the first characters of the piece and sorted, which is the depth-first order of a prefix
-   trie. The walk keeps a stack with one state for each byte of the current path: the last token of the tokenization
-   of that prefix and the number of its tokens. The next piece drops the states beyond the shared prefix and extends
-   from there. The state is exact: the tokenization of a prefix is the only sequence of tokens in which each two
-   neighbours would not have been merged otherwise, so the last token is the one suffix that is compatible with the
-   last token of what is left of it.
-3. The terminal counts times the postings are summed by document in the same task, and by document once more behind
-   a shuffle; labels are joined to the documents and totals grouped.
-
-Pieces that stand in many documents of a batch are spread over `SALTS` partitions by batch, so no task holds all
-postings of "the".
+1. The scan stage cuts texts into pieces and writes, per block of documents, one row for each distinct piece with the
+   documents it stands in and how often (postings). They stay where they were written; nothing is shuffled.
+2. The distinct pieces of the corpus are partitioned by range and sorted, which is the depth-first order of a prefix
+   trie; each range is a part of the trie. The walk keeps a stack with one state for each byte of the current path: the
+   last token of the tokenization of that prefix and the number of its tokens. The next piece drops the states beyond
+   the shared prefix and extends from there. The state is exact: the tokenization of a prefix is the only sequence of
+   tokens in which each two neighbours would not have been merged otherwise, so the last token is the one suffix that
+   is compatible with the last token of what is left of it.
+3. Terminal counts are joined to the postings. The pieces in most blocks (at most `BROADCAST_PIECES`, whatever the
+   corpus) are sent to the tasks, so the postings of " the" are summed by document where they lie; all others meet
+   their counts behind a shuffle, and there no piece has many postings. Sums by document are partial before their shuffle; labels are joined to the documents and totals
+   grouped.
 
 Defined results: null and empty texts have 0 tokens; special-token strings are ordinary text; rows that share an id
 (a null id, too) count together under the least of their labels; a missing label is "und" (language) or "unknown".
@@ -26,25 +25,28 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import os
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.arrowtext import map_arrow
 from leafmill.llm.labels import single_label
+from leafmill.llm.store import written
 
 #: A file of ranks: base64 of a token's bytes, blank, rank. TOKENIZER_FILE in the environment replaces it.
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-PREFIX = 3
-SALTS = 16
-SPREAD = 0.02
-HELD = 4_000_000
+#: Most pieces whose counts are sent to all tasks (about 10 MB).
+BROADCAST_PIECES = 200_000
 
 
 def _char_class(kinds: str) -> str:
@@ -67,9 +69,17 @@ def pieces_pattern() -> re.Pattern[str]:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def ship_vocabulary(spark: SparkSession, path: str) -> None:
+    """Sends the file to the executors, once a session."""
+    if os.path.basename(path) not in {os.path.basename(x) for x in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
+
+
 @functools.cache
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
+    """The table of a rank file: the one sent along, or on the driver the file itself."""
+    sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._is_running_on_worker else path
+    with open(sent if os.path.exists(sent) else path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
@@ -159,77 +169,71 @@ class PieceCounts(dict):
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(prefix, salt, piece, ids, counts) from (doc_id, text): per batch one row a distinct piece."""
+    """(piece, ids, counts) from (doc_id, text): per block of documents one row a distinct piece, and one without a piece that has their lengths."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         findall = pieces_pattern().findall
-        for batch in batches:
-            ids = np.array(batch.column(0).cast(pa.int64()), np.int64)
-            found: dict[str, list[int]] = {}
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                own: dict[str, int] = {}
-                for piece in findall(text):
-                    own[piece] = own.get(piece, 0) + 1
-                for piece, n in own.items():
-                    if (at := found.get(piece)) is None:
-                        found[piece] = [row, n]
-                    else:
-                        at += (row, n)
-            salt = hash(int(ids[0])) % SALTS
-            frequent = 2 * max(32, SPREAD * len(ids))
-            flat = [np.array(v, np.int64) for v in found.values()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[:PREFIX] for p in found], pa.string()),
-                    pa.array([salt if len(v) > frequent else 0 for v in flat], pa.int32()),
-                    pa.array(list(found), pa.string()),
-                    pa.array([ids[v[::2]].tobytes() for v in flat], pa.binary()),
-                    pa.array([v[1::2].astype(np.uint32).tobytes() for v in flat], pa.binary()),
-                ],
-                names=["prefix", "salt", "piece", "ids", "counts"],
-            )
-
-    return docs.mapInArrow(run, "prefix string, salt int, piece string, ids binary, counts binary")
+        ids = np.array(batch.column(0).cast(pa.int64()), np.int64)
+        texts = batch.column(1).to_pylist()
+        found: dict[str | None, list[int]] = {None: [x for row, text in enumerate(texts) for x in (row, len(text))]}
+        for row, text in enumerate(texts):
+            for piece, n in Counter(findall(text)).items():
+                if (at := found.get(piece)) is None:
+                    found[piece] = [row, n]
+                else:
+                    at += (row, n)
+        ends = np.cumsum([0, *(len(v) // 2 for v in found.values())]).astype(np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(found.values()), np.int64, 2 * int(ends[-1]))
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (ids[flat[::2]], flat[1::2].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *lists], names=["piece", "ids", "counts"])
 
+    return map_arrow(docs, one, "piece string, ids array<long>, counts array<int>")
 
-def document_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens) from (doc_id, text); documents without text are missing."""
+
+def terminal_counts(pieces: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """Distinct pieces with their number of tokens. Ranges of the pieces are the parts of the trie; a piece is one row, so no range is hot."""
+    ship_vocabulary(pieces.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = TrieWalk(ranks(path))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, before, n = 0, None, 0
+        for batch in batches:
+            tokens = [walk.tokens(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int32())], names=["piece", "blocks", "tokens"])
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            ids, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            total = np.zeros(len(ids), np.int64)
-            np.add.at(total, place, np.concatenate([h[1] for h in held]))
-            return ids, total
+    return pieces.repartitionByRange("piece").sortWithinPartitions("piece").mapInArrow(run, "piece string, blocks long, tokens int")
 
-        def out(ids: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["doc_id", "tokens"])
 
-        for batch in batches:
-            for piece, ids, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if piece != before:
-                    before, n = piece, walk.tokens(piece)
-                held.append((np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32).astype(np.int64) * n))
-                size += len(held[-1][0])
-            if size > HELD:
-                ids, total = summed()
-                if len(ids) > HELD // 2:
-                    yield out(ids, total)
-                    held, size = [], 0
-                else:
-                    held, size = [(ids, total)], len(ids)
-        if held:
-            yield out(*summed())
+def widespread(pieces: DataFrame, most: int = BROADCAST_PIECES) -> int:
+    """The least number of blocks (a power of two) such that at most `most` pieces stand in so many."""
+    left, bound = most, 1 << 62
+    for r in pieces.groupBy(F.floor(F.log2("blocks")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect():  # at most 64 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        bound = 1 << r.power
+    return bound
+
 
+def document_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, tokens, chars) from (doc_id, text); documents without text are missing."""
     # a null id is kept apart from all others as the least number
     safe = docs.where("text is not null and text != ''").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text")
-    walked = postings(safe).repartition("prefix", "salt").sortWithinPartitions("piece").select("piece", "ids", "counts")
-    summed = walked.mapInArrow(run, "doc_id long, tokens long").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
-    return summed.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "tokens")
+    rows = written(postings(safe), "postings")
+    held = rows.where("piece is not null")
+    pieces = written(terminal_counts(held.groupBy("piece").agg(F.count("*").alias("blocks")), path), "pieces")
+    least = widespread(pieces)
+    hot = F.broadcast(pieces.where(F.col("blocks") >= least).select("piece", "tokens"))  # at most BROADCAST_PIECES rows
+    rare = pieces.where(F.col("blocks") < least).select("piece", "tokens")
+
+    def each(part: DataFrame, tokens: Column, chars: Column) -> DataFrame:
+        flat = part.withColumn("x", F.explode(F.arrays_zip("ids", "counts")))
+        return flat.select(F.col("x.ids").alias("doc_id"), (tokens * F.col("x.counts")).cast("long").alias("tokens"), (chars * F.col("x.counts")).cast("long").alias("chars"))
+
+    known = each(held.join(hot, "piece"), F.col("tokens"), F.lit(0))
+    others = each(held.join(hot, "piece", "left_anti").join(rare, "piece"), F.col("tokens"), F.lit(0))
+    sizes = each(rows.where("piece is null"), F.lit(0), F.lit(1))
+    summed = known.unionByName(others).unionByName(sizes).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"))
+    return summed.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "tokens", "chars")
 
 
 def labelled(df: DataFrame, column: str, source: Column, domain: str) -> DataFrame:
@@ -253,10 +257,11 @@ def articles(documents: DataFrame) -> DataFrame:
 
 
 def with_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, lang, domain, chars, tokens) of labelled documents."""
-    labels = docs.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "domain")).alias("l"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    """(doc_id, source, lang, domain, chars, tokens) of labelled documents. Labels are read without the texts."""
+    labels = docs.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "domain")).alias("l"))
     counts = document_tokens(docs.select("doc_id", "text"), path).withColumnRenamed("doc_id", "id")
-    return labels.join(counts, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "l.source", "l.lang", "l.domain", "chars", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    joined = labels.join(counts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return joined.select("doc_id", "l.source", "l.lang", "l.domain", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
 def budget(md_documents: DataFrame, documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
