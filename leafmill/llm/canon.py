@@ -5,11 +5,15 @@ replace it and where they stand in an expansion table: full-width and half-width
 alphabets and Roman numeral signs become their plain letters, all kinds of space become U+0020, invisible characters
 vanish, look-alike Cyrillic, Greek and other letters become the Latin letter, and composed letters fall into base and
 marks. The gather is one numpy operation for the batch; marks are then put in canonical order and composed again, run
-by run, all runs of the batch at once.
+by run, all runs of the batch at once; so are the letters of Korean syllables.
+
+The canonical form is for comparing: texts that look the same are equal in it, so a Cyrillic or Greek text loses its
+look-alike letters there. The readable form is for reading: it differs in one point, a look-alike letter becomes Latin
+only in a word that has Latin letters, too.
 
 Defined results: a null stays null; an empty text stays empty; line breaks and tabs are kept, and so is the number of
 spaces; digits, case, accents and punctuation are never merged. Repeated rows give repeated rows; extra columns of any
-name are carried through untouched (`canonicalize`) or dropped (`same_looking`).
+name are carried through untouched (`canonicalize`) or dropped (`same_looking`, `classes`). Null ids have no pair and no class.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leafmill.llm.arrowtext import code_points, map_arrow, to_strings
+from leafmill.llm.store import written
 
 #: Letters of other scripts that common typefaces draw exactly as the Latin letter below them.
 LOOK_ALIKE = (
@@ -52,12 +57,18 @@ def _between(cp: int, ranges: tuple[tuple[int, int], ...]) -> bool:
 
 
 @functools.cache
-def tables() -> dict[str, np.ndarray]:
-    """Lookup tables over all code points, built once per worker from the Unicode data of Python."""
+def tables(fold: bool = True) -> dict[str, np.ndarray]:
+    """Lookup tables over all code points, built once per worker from the Unicode data of Python; without `fold` look-alike letters stay."""
     same: dict[str, str] = {}
     for other, latin in zip(LOOK_ALIKE[::2], LOOK_ALIKE[1::2]):
         for a, b in zip(other, latin):
             same[a] = b
+    latin_of = np.zeros(sys.maxunicode + 1, np.uint32)
+    for a, b in same.items():
+        latin_of[ord(a)] = ord(b)
+    if not fold:
+        same = {}
+    script = np.zeros(sys.maxunicode + 1, np.uint8)  # 1 within a word, 2 a Latin letter
     size = sys.maxunicode + 1
     length, start, ccc = np.ones(size, np.uint8), np.full(size, -1, np.int32), np.zeros(size, np.uint8)
     data: list[int] = []
@@ -71,6 +82,8 @@ def tables() -> dict[str, np.ndarray]:
             continue
         form = unicodedata.decomposition(ch)
         ccc[cp] = unicodedata.combining(ch)
+        if kind[0] in "LM":
+            script[cp] = 1 + (kind[0] == "L" and not latin_of[cp] and unicodedata.name(ch, "").startswith("LATIN "))
         if (kind == "Cf" and not 0x600 <= cp <= 0x605 and cp not in (0x6DD, 0x70F)) or _between(cp, INVISIBLE):
             out = ""
         elif kind == "Zs" and cp != 0x1680:
@@ -89,7 +102,7 @@ def tables() -> dict[str, np.ndarray]:
             length[cp], start[cp] = len(out), len(data)
             data += map(ord, out)
     keys = np.array(sorted(pairs), np.int64)
-    return {"length": length, "start": start, "data": np.array(data, np.uint32), "ccc": ccc, "pair": keys, "whole": np.array([pairs[k] for k in keys.tolist()], np.uint32)}
+    return {"length": length, "start": start, "data": np.array(data, np.uint32), "ccc": ccc, "pair": keys, "whole": np.array([pairs[k] for k in keys.tolist()], np.uint32), "latin": latin_of, "script": script}
 
 
 def _compose(points: np.ndarray, keep_ccc: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +139,48 @@ def _compose(points: np.ndarray, keep_ccc: np.ndarray, t: dict[str, np.ndarray])
     return points, alive
 
 
-def canonical_points(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical code points and bounds of a batch."""
+def _syllables(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading and vowel letters, and syllables and final letters, of Korean put together, by the arithmetic of Unicode."""
+    for first, size, second, count in ((0x1100, 19, 0x1161, 21), (0xAC00, 11172, 0x11A8, 27)):
+        a, b = points[:-1].astype(np.int64) - first, points[1:].astype(np.int64) - second
+        fits = (a >= 0) & (a < size) & (b >= 0) & (b < count)
+        if first == 0xAC00:
+            fits &= a % 28 == 0
+        inner = bounds[1:-1]
+        fits[inner[(inner > 0) & (inner < len(points))] - 1] = False  # never across texts
+        if fits.any():
+            points = points.copy()
+            at = np.flatnonzero(fits)
+            points[at] = 0xAC00 + (a[at] * 21 + b[at]) * 28 if first == 0x1100 else points[at] + b[at] + 1
+            alive = np.ones(len(points), bool)
+            alive[at + 1] = False
+            bounds = np.concatenate(([0], np.cumsum(alive)))[bounds]
+            points = points[alive]
+    return points, bounds
+
+
+def _mixed_words(points: np.ndarray, bounds: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
+    """Look-alike letters as Latin letters in words that have Latin letters, too."""
+    other = t["latin"][points]
+    if not other.any():
+        return points
+    kind = t["script"][points]
+    inside = kind > 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[bounds[:-1][bounds[:-1] < len(points)]] |= inside[bounds[:-1][bounds[:-1] < len(points)]]
+    word = np.cumsum(begins)
+    latin = np.zeros(int(word[-1]) + 1, bool)
+    latin[word[kind == 2]] = True
+    change = (other > 0) & inside & latin[word]
+    return np.where(change, other, points).astype(np.uint32)
+
+
+def canonical_points(points: np.ndarray, bounds: np.ndarray, readable: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical (or readable) code points and bounds of a batch."""
     if not len(points) or points.max() < 0x80:
         return points, bounds
-    t = tables()
+    t = tables(not readable)
     length = t["length"][points]
     after = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
     out = np.repeat(points, length)
@@ -140,6 +190,10 @@ def canonical_points(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
         inner = np.arange(len(out)) - np.repeat(after[:-1], length)
         out[changed] = t["data"][source[changed] + inner[changed]]
     bounds = after[bounds]
+    if readable and len(out):
+        out = _mixed_words(out, bounds, t)
+    if ((out >= 0x1100) & (out < 0x1200)).any():
+        out, bounds = _syllables(out, bounds)
     ccc = t["ccc"][out]
     ccc[bounds[:-1][bounds[:-1] < len(out)]] = 0  # a mark that begins a text has no base, and none across texts
     out, alive = _compose(out, ccc, t)
@@ -155,28 +209,27 @@ def visible_counts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return seen[bounds[1:]] - seen[bounds[:-1]]
 
 
-def canonical_text(text: str | None) -> str | None:
+def canonical_text(text: str | None, readable: bool = False) -> str | None:
     """One text, for tests and lookups."""
-    return None if text is None else canonical_strings(pa.array([text], pa.string()))[0].as_py()
+    return None if text is None else canonical_strings(pa.array([text], pa.string()), readable)[0].as_py()
 
 
-def canonical_strings(column: pa.Array) -> pa.Array:
-    """An Arrow text column in canonical form."""
-    return to_strings(*canonical_points(*code_points(column)), valid=np.asarray(column.is_valid()))
+def canonical_strings(column: pa.Array, readable: bool = False) -> pa.Array:
+    """An Arrow text column in canonical (or readable) form."""
+    return to_strings(*canonical_points(*code_points(column), readable), valid=np.asarray(column.is_valid()))
 
 
-def canonicalize(df: DataFrame, column: str = "markdown", into: str = "canonical") -> DataFrame:
-    """df with the canonical form of `column` in `into` (replaced if there is one already)."""
-    names = df.columns
-    at = names.index(column)
-    fields = [f for f in df.schema.fields if f.name != into]
-    keep = [i for i, f in enumerate(df.schema.fields) if f.name != into]
+def canonicalize(df: DataFrame, column: str = "markdown", into: str = "canonical", readable_into: str = "readable") -> DataFrame:
+    """df with the canonical form of `column` in `into` and its readable form in `readable_into` (replaced if there are such columns)."""
+    at = df.columns.index(column)
+    fields = [f for f in df.schema.fields if f.name not in (into, readable_into)]
+    keep = [i for i, f in enumerate(df.schema.fields) if f.name not in (into, readable_into)]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [batch.column(i) for i in keep] + [canonical_strings(batch.column(at))]
-        return pa.RecordBatch.from_arrays(out, names=[fields[i].name for i in range(len(keep))] + [into])
+        out = [batch.column(i) for i in keep] + [canonical_strings(batch.column(at)), canonical_strings(batch.column(at), True)]
+        return pa.RecordBatch.from_arrays(out, names=[f.name for f in fields] + [into, readable_into])
 
-    return map_arrow(df, one, StructType([*fields, StructField(into, StringType())]))
+    return map_arrow(df, one, StructType([*fields, StructField(into, StringType()), StructField(readable_into, StringType())]))
 
 
 def looks(df: DataFrame, id_column: str = "doc_id", column: str = "markdown") -> DataFrame:
@@ -197,19 +250,45 @@ def looks(df: DataFrame, id_column: str = "doc_id", column: str = "markdown") ->
     return map_arrow(chosen, one, "doc_id long, look binary, exact binary, visible long")
 
 
+#: Members of one text that share a task when its pairs are listed.
+SHARE = 10_000
+
+
+def look_alikes(df: DataFrame, id_column: str = "doc_id", column: str = "markdown", least_visible: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(members, texts): (doc_id, look, exact) of all documents, and (look, exact, copies) of the texts whose look has several.
+
+    The digests are written once, so the texts are read once. A text with any number of copies is one row of `texts`.
+    """
+    rows = written(looks(df, id_column, column).where(F.col("visible") >= least_visible).select("doc_id", "look", "exact"), "looks")
+    members = rows.distinct()
+    texts = members.groupBy("look", "exact").agg(F.count("*").alias("copies"))
+    mixed = texts.groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1").select("look")
+    return members, written(texts.join(mixed, "look"), "texts")
+
+
 def same_looking(df: DataFrame, id_column: str = "doc_id", column: str = "markdown", least_visible: int = 20) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of documents whose texts differ as strings and have one canonical form.
 
-    Texts are first counted by (look, exact), partially before the shuffle, so a text with any number of exact copies
-    is one row there. Only looks with two or more different texts go on; the members of those texts are then joined
-    with the other texts of their look. Exact copies of one text never meet. Members of a hot text are spread over
-    `salts` buckets while the partner side is repeated, so that no task holds all pairs of a hot look.
+    Different texts of a look are paired first, each text once however many copies it has; copies of one text never
+    meet. The members of both texts are attached afterwards: a text's members are spread over one salt for each `SHARE`
+    of them, and its pair is repeated for each salt. So the work is that of the result, in tasks of even size.
     """
-    salts = 16
-    rows = looks(df, id_column, column).where(F.col("visible") >= least_visible).select("doc_id", "look", "exact")
-    texts = rows.groupBy("look", "exact").agg(F.count("*").alias("copies"))
-    mixed = texts.groupBy("look").agg(F.count("*").alias("forms"), F.sum("copies").alias("members")).where("forms > 1")
-    members = rows.distinct().join(mixed, "look")
-    left = members.select("look", F.col("exact").alias("exact_a"), F.col("doc_id").alias("doc_id_a"), F.when(F.col("members") > 1000, F.pmod(F.xxhash64("doc_id"), F.lit(salts).cast("long"))).otherwise(F.lit(0).cast("long")).alias("salt"))
-    right = members.select("look", F.col("exact").alias("exact_b"), F.col("doc_id").alias("doc_id_b"), F.explode(F.when(F.col("members") > 1000, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
-    return left.join(right, ["look", "salt"]).where("doc_id_a < doc_id_b and exact_a != exact_b").select("doc_id_a", "doc_id_b")
+    members, texts = look_alikes(df, id_column, column, least_visible)
+    salted = texts.withColumn("salts", F.floor(F.col("copies") / SHARE).cast("int"))
+    left, right = (salted.select("look", F.col("exact").alias(f"exact_{x}"), F.col("salts").alias(f"salts_{x}")) for x in "ab")
+    pairs = left.join(right, "look").where("exact_a < exact_b")
+    for x in "ab":
+        pairs = pairs.withColumn(f"salt_{x}", F.explode(F.sequence(F.lit(0), F.col(f"salts_{x}")))).drop(f"salts_{x}")
+    own = members.join(salted, ["look", "exact"]).select("look", "exact", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).cast("int").alias("salt"))
+    for x in "ab":
+        side = own.select("look", F.col("exact").alias(f"exact_{x}"), F.col("doc_id").alias(x), F.col("salt").alias(f"salt_{x}"))
+        pairs = pairs.join(side, ["look", f"exact_{x}", f"salt_{x}"])
+    return pairs.where("a != b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+
+
+def classes(df: DataFrame, id_column: str = "doc_id", column: str = "markdown", least_visible: int = 20) -> DataFrame:
+    """(doc_id, class_id, members, links): one row a document that looks like a different text; the class is its least id, links are the members with another text."""
+    members, texts = look_alikes(df, id_column, column, least_visible)
+    own = members.join(texts, ["look", "exact"])
+    whole = own.groupBy("look").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    return own.join(whole, "look").select("doc_id", "class_id", "members", (F.col("members") - F.col("copies")).alias("links"))

@@ -75,8 +75,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """The canonical form of all documents."""
-    return canon.canonicalize(table(spark, d, "md_documents").select("doc_id", "markdown")).select("doc_id", "canonical")
+    """The canonical and the readable form of all documents."""
+    return canon.canonicalize(table(spark, d, "md_documents").select("doc_id", "markdown")).select("doc_id", "canonical", "readable")
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of documents that look the same."""
+    return canon.classes(table(spark, d, "md_documents"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +124,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.detect(table(spark, d, "documents")).select("doc_id", "redacted", "mentions")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repair, p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_canonical, p7_found, p7_pack, p7_usage, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repair, p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_classes, p6_canonical, p7_found, p7_pack, p7_usage, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p3_found": """

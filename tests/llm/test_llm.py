@@ -273,6 +273,33 @@ def test_a_hot_text_keeps_all_pairs(spark):
     assert canon.same_looking(df).count() == 1500
 
 
+def test_classes(spark):
+    a, b = "De commissie verwijst naar het besluit", "De commissie\u00a0verwijst naar het besluit"
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (3, a), (4, "De commissie verwijst naar iets anders"), (None, b), (6, None)], "doc_id long, markdown string")
+    assert sorted(tuple(r) for r in canon.classes(df).collect()) == [(1, 1, 3, 1), (2, 1, 3, 2), (3, 1, 3, 1)]
+    assert canon.classes(empty(spark)).count() == 0
+
+
+def test_copies_of_a_hot_text_do_not_meet(spark):
+    """A million copies and one variant: a million pairs, and nothing near their square."""
+    df = spark.range(1_000_000).selectExpr("id as doc_id", "'De commissie verwijst naar het besluit' as markdown").unionByName(spark.createDataFrame([(5_000_000, "De commissie verwijst naar het beѕluit")], "doc_id long, markdown string"))
+    assert canon.same_looking(df).count() == 1_000_000
+
+
+def test_korean_letters_become_syllables():
+    for text in ("한국어 각 가", "값 x 뷁"):
+        assert canon.canonical_text(unicodedata.normalize("NFD", text)) == text
+    split_ = pa.array(["\u1100", "\u1161\u11a8", "\u1112\u1161", "\u11ab"])
+    assert canon.canonical_strings(split_).to_pylist() == ["\u1100", "\u1161\u11a8", "하", "\u11ab"]
+
+
+def test_readable_form_leaves_other_scripts_alone():
+    for text in ("angle α with value ν", "Москва и сор", "ρυθμός", "Α. Β."):
+        assert canon.canonical_text(text, readable=True) == text
+    assert canon.canonical_text("het beѕluіt van Ｍоскоu é", readable=True) == "het besluit van Mocкou é"
+    assert canon.canonical_text(None, readable=True) is None
+
+
 # ---------------------------------------------------------------- p8
 
 
