@@ -1,9 +1,11 @@
 """Problem 8: passages of evaluation items inside the corpus.
 
 Each task turns its part of the corpus into shards of word numbers, sorts the suffixes of a shard (suffix array by
-prefix doubling) and searches every suffix of every item in it by bisection: the two neighbours of the place found
-give the longest verbatim match, and the range of suffixes that share its first `least` words gives all documents it
-stands in. Shards have a fixed number of words, so memory does not depend on the size of a partition.
+prefix doubling) and searches every suffix of every item in it by bisection, a few words at a time: the place found
+lies between the two suffixes with the longest common prefixes; going away from them, what a suffix shares with the
+item is the running minimum of what neighbours share with each other. The range of suffixes that share its first
+`least` words gives all documents it stands in. Memory is a fixed number of arrays as long as the shard, whatever the
+length of an item; shards have a fixed number of words, so it does not depend on the size of a partition either.
 
 Words are runs of letters or digits in lower case; typesetting commands are skipped, and so is everything between
 words. Words that occur in no item are one number that equals nothing. A suffix with such a word among its first
@@ -71,35 +73,54 @@ class Shard:
         place = np.cumsum(keep[: len(words)]) - 1
         gap = np.concatenate((np.diff(kept) > 1, [True])) if len(kept) else np.zeros(0, bool)
         shift = np.concatenate(([0], np.cumsum(gap)[:-1])) if len(kept) else gap  # a 0 after each stretch
-        self.words = np.zeros(len(kept) + int(gap.sum()) + depth, np.int64)
+        self.words = np.zeros(len(kept) + int(gap.sum()) + depth + 17, np.int64)
         self.words[np.arange(len(kept)) + shift] = words[kept]
         self.doc_of = np.full(len(self.words), -1, np.int64)
         self.doc_of[np.arange(len(kept)) + shift] = doc_of[kept]
         own = place[starts]
         self.sorted = suffix_array(self.words, own + shift[own] if len(own) else own, depth)
 
-    def bounds(self, queries: np.ndarray, at: np.ndarray, width: int, right: bool) -> np.ndarray:
-        """Where the first `width` words at queries[at] belong among the sorted suffixes, all by bisection at once."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.sorted), np.int64)
-        step = np.arange(width)
-        wanted = queries[at[:, None] + step]
+        self.shared = self._shared_by_neighbours(depth)
+
+    def _shared_by_neighbours(self, depth: int) -> np.ndarray:
+        """Words that each sorted suffix shares with the one before it (0 for the first), at most depth."""
+        out = np.zeros(len(self.sorted), np.int64)
+        open_ = np.arange(1, len(self.sorted))
+        for step in range(depth):
+            a, b = self.words[self.sorted[open_] + step], self.words[self.sorted[open_ - 1] + step]
+            open_ = open_[(a == b) & (a != 0)]
+            if not len(open_):
+                break
+            out[open_] += 1
+        return out
+
+    def bounds(self, wanted: np.ndarray, skip: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+        """Where rows of words belong among the sorted suffixes of [low, high), all of which share the `skip` words before; all by bisection at once."""
+        low, high = low.copy(), high.copy()
+        step = np.arange(wanted.shape[1])
+        rows = np.arange(len(wanted))
         while (open_ := low < high).any():
             middle = (low + high) // 2
-            there = self.words[self.sorted[np.minimum(middle, len(self.sorted) - 1)][:, None] + step]
+            at = self.sorted[np.minimum(middle, len(self.sorted) - 1)] + skip
+            there = self.words[np.minimum(at[:, None] + step, len(self.words) - 1)]
             other = there != wanted
             first = other.argmax(1)
-            rows = np.arange(len(at))
             less = np.where(other.any(1), there[rows, first] < wanted[rows, first], right)
             low = np.where(open_ & less, middle + 1, low)
             high = np.where(open_ & ~less, middle, high)
         return low
 
     def common(self, queries: np.ndarray, at: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-        """Words that the query suffixes share with the sorted suffixes at places."""
-        inside = (places >= 0) & (places < len(self.sorted))
-        there = self.words[self.sorted[np.clip(places, 0, len(self.sorted) - 1)][:, None] + np.arange(depth)]
-        other = (there != queries[at[:, None] + np.arange(depth)]) | (there == 0)
-        return np.where(inside, np.where(other.any(1), other.argmax(1), depth), 0)
+        """Words that the query suffixes share with the sorted suffixes at places (0 outside), word by word."""
+        out = np.zeros(len(at), np.int64)
+        open_ = np.flatnonzero((places >= 0) & (places < len(self.sorted)))
+        for step in range(depth):
+            a, b = self.words[self.sorted[places[open_]] + step], queries[at[open_] + step]
+            open_ = open_[(a == b) & (b != 0)]
+            if not len(open_):
+                break
+            out[open_] += 1
+        return out
 
 
 class Items:
@@ -113,31 +134,46 @@ class Items:
             words += [self.number.setdefault(w, len(self.number) + 1) for w in own] + [0]
             item += [i] * (len(own) + 1)
             begin += range(len(own) + 1)
-        self.words = np.array(words + [0] * (self.depth + 1), np.int64)
+        self.words = np.array(words + [0] * (self.depth + 17), np.int64)
         self.ids = np.array([i for i, _ in rows], np.int64)
         self.item, self.begin = np.array(item, np.int64), np.array(begin, np.int64)
         length = np.array([len(w) for _, w in rows], np.int64)
         self.suffixes = np.flatnonzero(length[self.item] - self.begin >= least) if rows else np.zeros(0, np.int64)
         self.least = least
 
+    def _places(self, shard: Shard, at: np.ndarray, low: np.ndarray, high: np.ndarray, step: int = 16) -> np.ndarray:
+        """Where the whole suffixes at `at` belong within [low, high), which share the first `least` words with them."""
+        place, skip = low.copy(), np.full(len(at), self.least, np.int64)
+        low, high, open_ = low.copy(), high.copy(), np.arange(len(at))
+        while len(open_):
+            wanted = self.words[np.minimum(at[open_] + skip[open_], len(self.words) - step)[:, None] + np.arange(step)]
+            a = shard.bounds(wanted, skip[open_], low[open_], high[open_], False)
+            b = shard.bounds(wanted, skip[open_], low[open_], high[open_], True)
+            place[open_], low[open_], high[open_] = a, a, b
+            skip[open_] += step
+            open_ = open_[(b > a) & ~(wanted == 0).any(1)]  # some share these words, too, and the item goes on
+        return place
+
     def search(self, shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(document places, item ids, words, begin in item): the longest match of each pair in the shard."""
         if not len(shard.sorted):
             return
         at = self.suffixes
-        low = shard.bounds(self.words, at, self.least, right=False)
-        high = shard.bounds(self.words, at, self.least, right=True)
+        first = self.words[at[:, None] + np.arange(self.least)]
+        none, all_ = np.zeros(len(at), np.int64), np.full(len(at), len(shard.sorted), np.int64)
+        low, high = shard.bounds(first, none, none, all_, False), shard.bounds(first, none, none, all_, True)
         at, low, high = at[high > low], low[high > low], high[high > low]
         if not len(at):
             return
-        low, high, at = low.tolist(), high.tolist(), at
+        place = self._places(shard, at, low, high)
+        before, behind = shard.common(self.words, at, place - 1, self.depth), shard.common(self.words, at, place, self.depth)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for a, lo, hi in zip(at, low, high):
-            places = np.arange(lo, hi)
-            shared = shard.common(self.words, np.full(hi - lo, a), places, self.depth)
-            docs = shard.doc_of[shard.sorted[places]]
+        for a, lo, mid, hi, left, right in zip(at.tolist(), low.tolist(), place.tolist(), high.tolist(), before.tolist(), behind.tolist()):
             item, begin = int(self.item[a]), int(self.begin[a])
-            for doc, words in zip(docs.tolist(), shared.tolist()):
+            down = np.minimum.accumulate(np.concatenate(([left], shard.shared[lo + 1 : mid][::-1])))[::-1] if mid > lo else np.zeros(0, np.int64)
+            up = np.minimum.accumulate(np.concatenate(([right], shard.shared[mid + 1 : hi]))) if hi > mid else np.zeros(0, np.int64)
+            docs = shard.doc_of[shard.sorted[lo:hi]]
+            for doc, words in zip(docs.tolist(), np.concatenate((down, up)).tolist()):
                 if (words, -begin) > best.get((doc, item), (0, 0)):
                     best[doc, item] = (words, -begin)
         pairs = np.array(list(best), np.int64)
