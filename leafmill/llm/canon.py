@@ -19,6 +19,7 @@ name are carried through untouched (`canonicalize`) or dropped (`same_looking`,
 from __future__ import annotations
 
 import functools
+import itertools
 import sys
 import unicodedata
 
@@ -48,6 +49,8 @@ LOOK_ALIKE = (
 PLAIN_KINDS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 #: Code points with a <compat> form that reads as the same letters: ligatures, digraphs, Roman numerals.
 COMPAT_RANGES = ((0xFB00, 0xFB06), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0x00B5, 0x00B5))
+#: Code points that can have a form: all but ideographs, Korean syllables, surrogates, private and unassigned planes.
+TABLED = ((0, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xF900, 0x17000), (0x1AFF0, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
 #: Invisible besides the characters of category Cf.
 INVISIBLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
 
@@ -73,9 +76,7 @@ def tables(fold: bool = True) -> dict[str, np.ndarray]:
     length, start, ccc = np.ones(size, np.uint8), np.full(size, -1, np.int32), np.zeros(size, np.uint8)
     data: list[int] = []
     pairs: dict[int, int] = {}
-    for cp in range(size):
-        if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
-            continue
+    for cp in itertools.chain(*map(range, *zip(*TABLED))):
         ch = chr(cp)
         kind = unicodedata.category(ch)
         if kind == "Cn" or kind == "Co":

@@ -7,15 +7,15 @@ the sum of the products of its trigrams: those are kept in a table (trigrams ×
 scored with one gather and one segmented sum. The length of a text vector is the root of the sum of its squared
 trigram counts, which is exact up to the chance products of random vectors.
 
-Prototypes come from all rows whose label names one language, by trigram counts that are summed before the shuffle
-(at most languages × trigrams rows, whatever the corpus); wrong labels only dim them. They are centred on their
-common mean, so that what all languages share does not count. A second round recounts with the labels the first round
-agrees with.
+Prototypes are fitted on a sample of at most about `TRAIN_ROWS` rows of each language whose label names it alone, drawn
+by a hash over the whole table; wrong labels only dim them. They are centred on their common mean, so that what all
+languages share does not count. A second round recounts the sample's rows whose labels the first round agrees with.
+Every row of the table is then identified with them, in one scan.
 
 A document is cut into sentences; headings, tables, separators and encoded data are no prose. Sentences are scored one by one; one that is too
 short or too even takes the language of its neighbours. Consecutive sentences of one language are a segment. The main
 language is the one with most letters; its confidence is the share of its sentences' letters times the confidence in
-them.
+them. What is near no prototype has the language "und".
 
 Defined results: null, blank and prose-free texts have no language and no segment; ties go to the order of `CODES`;
 repeated rows are labelled each; extra columns are not read. Without any labelled row there is no prototype and no
@@ -25,6 +25,7 @@ result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,18 +33,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrowtext import code_points, map_arrow
+from leafmill.llm.arrowtext import ROWS, code_points, map_arrow
 from leafmill.llm.canon import canonical_points
 from leafmill.llm.labels import CODES, named_languages
 
 DIMENSIONS = 2048
 LETTERS = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ'"
 SIZE = 64
+#: Letters of scripts with a number of their own: Greek, Cyrillic, Hebrew and Arabic, and those of the Far East.
+SCRIPTS = ((0x370, 0x400), (0x400, 0x530), (0x590, 0x800), (0x3040, 0xD7B0))
 #: Letters below which a sentence takes its neighbours' language, and the least lead of the best cosine.
 SHORT, LEAD = 18, 0.02
 #: Letters from which a line without an end mark counts by itself.
 FRAGMENT = 60
 SHARPNESS = 25.0
+#: A sentence, and a whole stretch or document, below this cosine with all prototypes is in none of the languages.
+STRANGE, STRANGE_WHOLE = 0.06, 0.2
+#: Labelled rows of each language the prototypes are fitted on.
+TRAIN_ROWS = 2000
+NAMES = (*CODES, "und")
+OTHER = len(CODES)
 
 
 def _letters() -> np.ndarray:
@@ -55,6 +64,8 @@ def _letters() -> np.ndarray:
     out[0x250:0x2000] = SIZE - 1
     out[0x2019] = LETTERS.index("'")
     out[0x3000:] = SIZE - 1
+    for number, (low, high) in enumerate(SCRIPTS, SIZE - 1 - len(SCRIPTS)):
+        out[low:high] = number
     return out
 
 
@@ -92,31 +103,25 @@ def letter_vectors(seed: int = 20) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SIZE, DIMENSIONS))
 
 
-def _gram_vectors(first: int, letters: np.ndarray) -> np.ndarray:
-    """Vectors of the SIZE² trigrams that begin with letter `first`."""
-    a = np.roll(letters[first], 2)
-    ab = a * np.roll(letters, 1, axis=1)
-    return (ab[:, None, :] * letters[None, :, :]).reshape(SIZE * SIZE, DIMENSIONS)
-
-
 def prototypes(counts: np.ndarray) -> Prototypes:
-    """From trigram counts (languages × trigrams)."""
-    letters = letter_vectors()
+    """From trigram counts (languages × trigrams). The vector of a trigram is a product of three, so sums over trigrams are taken letter by letter."""
+    letters = letter_vectors().astype(np.float32)
+    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
+    share = (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32).reshape(len(counts), SIZE, SIZE, SIZE)
     bundle = np.zeros((len(counts), DIMENSIONS))
-    share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    used = [f for f in range(SIZE) if counts[:, f * SIZE * SIZE : (f + 1) * SIZE * SIZE].any()]
-    for f in used:
-        part = share[:, f * SIZE * SIZE : (f + 1) * SIZE * SIZE]
-        live = np.flatnonzero(part.any(0))
-        bundle += part[:, live] @ _gram_vectors(f, letters)[live].astype(np.float32)
+    for f in range(SIZE):
+        if share[:, f].any():
+            bundle += first[f] * ((share[:, f] @ letters) * second).sum(1)
     seen = counts.sum(1) > 0
     if seen.sum() > 1:
         bundle[seen] -= bundle[seen].mean(0)
     norm = np.linalg.norm(bundle, axis=1, keepdims=True)
     bundle = np.where(seen[:, None], bundle / np.where(norm > 0, norm, 1), 0).astype(np.float32)
-    table = np.empty((SIZE**3, len(counts)), np.float32)
+    table = np.empty((SIZE, SIZE, SIZE, len(counts)), np.float32)
     for f in range(SIZE):
-        table[f * SIZE * SIZE : (f + 1) * SIZE * SIZE] = _gram_vectors(f, letters).astype(np.float32) @ bundle.T
+        turned = (bundle * first[f])[:, None, :] * second
+        table[f] = np.moveaxis(turned @ letters.T, 0, -1)
+    table = table.reshape(SIZE**3, len(counts))
     table[:, ~seen] = -1e3
     return Prototypes(table)
 
@@ -138,8 +143,8 @@ END = re.compile(rf"(?:(?<!\d)[.!?…]|(?<=\d)[!?…]|(?<=\d)\.(?![ \n]+{MONTH}\
 ABBREVIATION = re.compile(r"(?:\b(?:art|nr|no|bzw|vgl|sog|Abs|Nr|Art|Dr|Mr|Mrs|St|Sr|Sra|cf|p|pp|etc|i\.e|e\.g|o\.a|d\.w\.z|z\.B|M|Mme)|\b(?:vom|am|dem|den|zum|bis|seit|ab)[ \n]+\d{1,2}|\b\p{Lu})\.$".replace(r"\p{Lu}", "[A-Z]"))
 BLOCK = re.compile(r"\n[ \t]*\n+")
 NOT_PROSE = re.compile(r"^\s*(?:#{1,6}\s|\||[-*_=]{3,}\s*$|```)")
-#: Runs without a blank that are no word: hashes, encoded data, addresses.
-NO_WORD = re.compile(r"\S{31,}")
+#: Runs without a blank that are no word: hashes, encoded data, addresses; they have a digit or sign, which long compounds and scripts without blanks have not.
+NO_WORD = re.compile(r"(?=[!-~]*[0-9/+=_@\\#%&])[!-~]{31,}")
 WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,30}(?![^\W_])")
 QUOTE = re.compile(r"^\s*>")
 OPEN, CLOSE = "«“„\"‹»", "»”“\"›«"
@@ -188,7 +193,7 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
                         last += 1
             if last < len(piece) and piece[last:].strip():
                 out.append((low + last, low + len(piece.rstrip()), False))
-    return [s for s in out if len(WORD.findall(text, s[0], s[1])) >= 2]
+    return [s for s in out if (m := WORD.search(text, s[0], s[1])) and WORD.search(text, m.end(), s[1])]
 
 
 class Segment(NamedTuple):
@@ -200,69 +205,103 @@ class Segment(NamedTuple):
 
 
 def segments(spans: list[tuple[int, int, bool]], cosine: np.ndarray, letters: np.ndarray) -> tuple[int, float, list[Segment]]:
-    """(main language or -1, its confidence, segments) from the sentences of a document."""
+    """(main language or -1, its confidence, segments) from the sentences of a document; number `OTHER` is none of the languages."""
     if not len(spans) or not (letters > 0).any():
         return -1, 0.0, []
-    order = np.argsort(-cosine, axis=1, kind="stable")
-    best = order[:, 0]
-    lead = cosine[np.arange(len(best)), best] - cosine[np.arange(len(best)), order[:, 1]]
+    best = cosine.argmax(1)
+    top = np.partition(cosine, -2, axis=1)[:, -2:]
     whole = np.array([w for _, _, w in spans])
-    sure = (letters >= SHORT) & (lead >= LEAD) & (whole | (letters >= FRAGMENT))
-    total = (cosine * letters[:, None]).sum(0)
-    votes = np.bincount(best[sure], letters[sure], cosine.shape[1])
-    main = int(votes.argmax()) if votes.any() else int(total.argmax())
-    lang = np.where(sure, best, -1)
-    for i in range(len(lang)):  # an unsure sentence between two of one language is theirs, any other the main language's
-        if lang[i] < 0:
-            after = next((int(x) for x in lang[i + 1 :] if x >= 0), main)
-            lang[i] = lang[i - 1] if i and lang[i - 1] == after else main
-    def confidence(rows: np.ndarray, k: int) -> float:
+    clear = (letters >= SHORT) & (whole | (letters >= FRAGMENT))
+    sure = clear & (top[:, 1] - top[:, 0] >= LEAD)
+    best = np.where(clear & (top[:, 1] < STRANGE), OTHER, best)
+    sure |= best == OTHER
+    votes = np.bincount(best[sure], letters[sure], OTHER + 1)
+    main = int(votes.argmax()) if votes.any() else int((cosine * letters[:, None]).sum(0).argmax())
+
+    def confidence(a: int, b: int, k: int) -> float:
+        rows = slice(a, b)
         mean = (cosine[rows] * letters[rows, None]).sum(0) / max(1, letters[rows].sum())
+        if k == OTHER:
+            return float(min(1.0, max(0.0, 1 - mean.max() / STRANGE)))
         power = np.exp(SHARPNESS * (mean - mean.max()))
         return float(power[k] / power.sum())
-    out = []
-    cut = np.flatnonzero(np.diff(lang)) + 1
-    for a, b in zip([0, *cut], [*cut, len(lang)]):
-        rows = np.arange(a, b)
-        full = sum(1 for i in rows if whole[i] and letters[i] >= 10)
-        out.append(Segment(int(lang[a]), confidence(rows, int(lang[a])), spans[a][0], spans[b - 1][1], full))
-    own = np.flatnonzero(lang == main)
-    share = letters[own].sum() / letters.sum()
-    return main, share * confidence(own, main) if len(own) else 0.0, out
 
+    def weak(a: int, b: int, k: int) -> bool:
+        """Whether a stretch is too far from its language as a whole."""
+        n = letters[a:b].sum()
+        return k != OTHER and n >= SHORT and (cosine[a:b, k] * letters[a:b]).sum() < (STRANGE_WHOLE if n >= FRAGMENT else STRANGE) * n
 
-def _counts(df: DataFrame, label: str) -> np.ndarray:
-    """Trigram counts by language of (label, text) rows: at most languages × trigrams rows reach the driver."""
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = np.array([CODES.index(x) for x in batch.column(0).to_pylist()], np.int64)
-        gram, row, _ = trigrams(*canonical_points(*code_points(batch.column(1))))
-        key, n = np.unique(codes[row] * SIZE**3 + gram, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    out = np.zeros((len(CODES), SIZE**3))
-    for r in map_arrow(df.select(label, "text"), one, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[divmod(r.key, SIZE**3)] = r.n
-    return out
+    if (best[sure] == main).all():  # one language, as in most documents
+        main = OTHER if weak(0, len(spans), main) else main
+        sure_of = confidence(0, len(spans), main)
+        return main, sure_of, [Segment(main, sure_of, spans[0][0], spans[-1][1], int((whole & (letters >= 10)).sum()))]
+    lang = np.where(sure, best, -1)
+    after, behind = main, np.empty(len(lang), np.int64)  # the next sure language
+    for i in range(len(lang) - 1, -1, -1):
+        behind[i] = after
+        after = lang[i] if lang[i] >= 0 else after
+    for i in range(len(lang)):  # an unsure sentence between two of one language is theirs, any other the main language's
+        if lang[i] < 0:
+            lang[i] = lang[i - 1] if i and lang[i - 1] == behind[i] else main
+    out = []
+    cut = np.flatnonzero(np.diff(lang)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(lang)]):
+        k = OTHER if weak(a, b, int(lang[a])) else int(lang[a])
+        out.append(Segment(k, confidence(a, b, k), spans[a][0], spans[b - 1][1], int((whole[a:b] & (letters[a:b] >= 10)).sum())))
+    own = lang == main
+    if main != OTHER and own.any() and (cosine[own, main] * letters[own]).sum() < STRANGE_WHOLE * letters[own].sum() and letters[own].sum() >= FRAGMENT:
+        main = OTHER
+    inside = [(x.confidence, letters[a:b].sum()) for x, a, b in zip(out, [0, *cut.tolist()], [*cut.tolist(), len(lang)]) if x.lang == main]
+    return main, float(sum(c * n for c, n in inside) / letters.sum()) if inside else 0.0, out
+
+
+def _counts(df: DataFrame) -> np.ndarray:
+    """Trigram counts by language of (label, text) rows: at most languages × trigrams rows of each task reach the shuffle, and as many the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(CODES) * SIZE**3, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                codes = np.array([CODES.index(x) for x in part.column(0).to_pylist()], np.int64)
+                gram, row, _ = trigrams(*canonical_points(*code_points(part.column(1)), True))
+                total += np.bincount(codes[row] * SIZE**3 + gram, minlength=len(total))
+        key = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], names=["key", "n"])
+
+    summed = df.select("label", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(CODES) * SIZE**3)
+    out[np.array(summed["key"])] = np.array(summed["n"])
+    return out.reshape(len(CODES), SIZE**3)
+
+
+def sample(df: DataFrame, column: str, label: str, most: int) -> DataFrame:
+    """(label, text): about `most` rows of each language whose label names it alone, chosen by a hash of their text and place in no order; all where there are fewer."""
+    names = named_languages(F.col(label))
+    rows = df.where(F.col(column).isNotNull()).select(F.when(F.size(names) == 1, F.element_at(names, 1)).alias("label"), F.col(column).alias("text")).where("label is not null")
+    counted = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not counted:
+        return rows
+    share = F.create_map(*(F.lit(x) for code, n in counted.items() for x in (code, min(1.0, most / n))))
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("label")) * (1 << 20)
+    return rows.where(drawn)
 
 
-def train(df: DataFrame, column: str = "markdown", label: str = "lang", rounds: int = 2) -> Prototypes:
-    """Prototypes from all rows whose label names one language."""
+def train(df: DataFrame, column: str = "markdown", label: str = "lang", rounds: int = 2, most: int = TRAIN_ROWS) -> Prototypes:
+    """Prototypes from a bounded sample of the rows whose label names one language."""
     spark = df.sparkSession
-    names = named_languages(F.col(label))
-    rows = df.where(F.col(column).isNotNull()).select(F.when(F.size(names) == 1, F.element_at(names, 1)).alias("label"), F.col(column).alias("text")).where("label is not null")
-    model = prototypes(_counts(rows, "label"))
+    rows = sample(df, column, label, most)
+    model = prototypes(_counts(rows))
     for _ in range(rounds - 1):
         sent = spark.sparkContext.broadcast(model)
 
         def agree(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            cosine, letters = cosines(*canonical_points(*code_points(batch.column(1))), sent.value)
+            cosine, letters = cosines(*canonical_points(*code_points(batch.column(1)), True), sent.value)
             said = np.array([CODES.index(x) for x in batch.column(0).to_pylist()], np.int64)
             return batch.filter(pa.array((cosine.argmax(1) == said) & (letters >= SHORT)))
 
-        kept = _counts(map_arrow(rows, agree, "label string, text string"), "label")
-        first = kept.sum(1) > 0
-        model = prototypes(kept) if first.any() else model
+        kept = _counts(map_arrow(rows, agree, "label string, text string"))
+        model = prototypes(kept) if kept.any() else model
     return model
 
 
@@ -277,15 +316,20 @@ def identify(df: DataFrame, id_column: str = "doc_id", column: str = "markdown",
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(2).to_pylist()
         spans = [sentences(t) if t else [] for t in texts]
-        flat = pa.array([NO_WORD.sub(" ", t[a:b]) for t, own in zip(texts, spans) for a, b, _ in own], pa.string())
-        cosine, letters = cosines(*canonical_points(*code_points(flat)), sent.value)
+        pieces: list[str] = []
+        for t, own in zip(texts, spans):
+            if t and NO_WORD.search(t):
+                pieces += [NO_WORD.sub(" ", t[a:b]) for a, b, _ in own]
+            else:
+                pieces += [t[a:b] for a, b, _ in own]
+        cosine, letters = cosines(*canonical_points(*code_points(pa.array(pieces, pa.string())), True), sent.value)
         main, sure, parts, at = [], [], [], 0
         for own in spans:
             k, c, s = segments(own, cosine[at : at + len(own)], letters[at : at + len(own)])
             at += len(own)
-            main.append(CODES[k] if k >= 0 else None)
+            main.append(NAMES[k] if k >= 0 else None)
             sure.append(c if k >= 0 else None)
-            parts.append([{"lang": CODES[x.lang], "confidence": x.confidence, "begin": x.begin, "end": x.end, "sentences": x.whole} for x in s])
+            parts.append([{"lang": NAMES[x.lang], "confidence": x.confidence, "begin": x.begin, "end": x.end, "sentences": x.whole} for x in s])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(main, pa.string()), pa.array(sure, pa.float64()), pa.array(parts, SEGMENTS)], names=["doc_id", "named", "main", "confidence", "segments"])
 
     chosen = df.select(F.col(id_column).cast("long").alias("doc_id"), named_languages(F.col(label)).alias("named"), F.col(column).alias("text"))
@@ -296,5 +340,5 @@ def unnamed(df: DataFrame, least_sentences: int = 2) -> DataFrame:
     """(doc_id, lang): main languages, and languages of segments of two sentences or more, that the label does not name."""
     found = identify(df).where("main is not null")
     foreign = F.transform(F.filter("segments", lambda s: s["sentences"] >= least_sentences), lambda s: s["lang"])
-    langs = F.array_except(F.array_union(F.array("main"), foreign), "named")
+    langs = F.array_except(F.array_union(F.array("main"), foreign), F.array_append("named", F.lit("und")))
     return found.select("doc_id", F.explode(langs).alias("lang")).distinct()

@@ -53,12 +53,30 @@ def test_languages(spark, md):
     assert langid.unnamed(empty(spark)).count() == 0
 
 
+def test_other_languages_and_long_words(spark, md):
+    rows = [(1, "Суд пришёл к выводу о том, что решение комиссии не является обязательным для сторон. Дело передано на новое рассмотрение в районный суд.", None), (2, "法院认为该决定对双方没有约束力，因为没有证据表明该许可证在听证会之前已经被撤销或者变更。", "nl")]
+    rows += [(3, NL + "Donaudampfschifffahrtsgesellschaftskapitänswitwe. " + "QUJD" * 30 + "/x1= ", "nl")]
+    got = {r.doc_id: r.main for r in langid.identify(spark.createDataFrame(rows, "doc_id long, markdown string, lang string"), model=langid.train(md)).collect()}
+    assert got == {1: "und", 2: "und", 3: "nl"}
+    assert langid.NO_WORD.search("Donaudampfschifffahrtsgesellschaftskapitänswitwe") is None
+
+
 def test_held_out_accuracy():
     """Prototypes from the first sentences of each text name the language of the others, and products equal the vectors' own."""
     langs = (NL, EN, DE, FR, ES)
     first = [" ".join(t.split(". ")[:2]) for t in langs]
     counts = np.stack([np.bincount(langid.trigrams(*langid.code_points(pa.array([t])))[0], minlength=langid.SIZE**3) for t in first]).astype(float)
     model = langid.prototypes(counts)
+    letters = langid.letter_vectors().astype(float)
+    for a, b, c in ((1, 5, 9), (0, 20, 3)):
+        gram = np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        bundles = []
+        for row in counts:
+            at = np.flatnonzero(row)
+            bundles.append(sum(row[k] * np.roll(letters[k // 4096], 2) * np.roll(letters[k // 64 % 64], 1) * letters[k % 64] for k in at) / row.sum())
+        centred = np.array(bundles) - np.mean(bundles, 0)
+        centred /= np.linalg.norm(centred, axis=1, keepdims=True)
+        assert np.allclose(model.table[a * 4096 + b * 64 + c], centred @ gram, atol=1e-3)
     cosine, _ = langid.cosines(*langid.code_points(pa.array([t.split(". ")[2] for t in langs])), model)
     assert list(cosine.argmax(1)) == [0, 1, 2, 3, 4]
 
