@@ -258,6 +258,26 @@ def test_single_bytes_need_context(spark):
     assert mojibake.garbled(empty(spark)).count() == 0
 
 
+def test_passages_of_different_pairs(spark):
+    """One document, two passages garbled in different ways, right text between them that stays."""
+    one, two = FR.replace("’", "'"), DE
+    clean = [(k, FR + "\n\n" + one + DE + ES) for k in range(40)]
+    text = one.encode("cp1252").decode("cp1251") + "\n\n" + ES + "\n\n" + two.encode("cp1252").decode("cp437")
+    df = spark.createDataFrame([*clean, (90, text), (91, "Δοκιμή".encode().decode("cp1252", "replace") + " Москва".encode().decode("latin_1"))], "doc_id long, markdown string")
+    got = {r.doc_id: r for r in mojibake.repair(df).collect()}
+    assert got[90].repaired == one + "\n\n" + ES + "\n\n" + two
+    assert got[91].repaired.endswith("Москва")
+    assert all(got[k].spans == 0 for k, _ in clean)
+
+
+def test_contexts_of_any_corpus_size(spark):
+    """Counts ten thousand times as large give the same patterns: nothing depends on the number of documents."""
+    df = spark.createDataFrame([(k, FR + DE + ES) for k in range(30)] + [(40, FR.replace("’", "'").encode("cp1252").decode("cp1251"))], "doc_id long, markdown string")
+    known = mojibake.known_contexts(df)
+    small, large = (mojibake.context_patterns({k: n * by for k, n in known.items()}) for by in (2, 20_000))
+    assert set(small.automaton.keys()) == set(large.automaton.keys()) and small.ordinary == large.ordinary
+
+
 # ---------------------------------------------------------------- p6
 
 
