@@ -9,6 +9,7 @@ a span counts from `LEAST` on.
   eleven test or a check letter confirm them; words such as "SSN" or "passport" count for them, words such as
   "grant", "record" or "ISBN" against.
 * address: house number and street in the orders of the languages of the corpus, with flat, postcode and town.
+* card and iban: payment cards confirmed by Luhn's check, account numbers by mod-97; replaced, but no listed type.
 * name: a given name and a surname in either order, with particles, middle names and initials. Which words are
   surnames is learned from the author lists of the whole corpus (initial and surname), which are given names from what
   stands before those surnames elsewhere; titles and cue words add to the score.
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
+from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -147,6 +150,10 @@ PHONE_SHAPES = re.compile(
 PHONE_CUES = re.compile(r"(?:tel|phone|fon|call|reach|erreichbar|bereikbaar|bel|bellen|appel|joindre|répond|mobile|mobil|gsm|fax|hotline|anruf|nummer bellen|téléphone|telefoon|telefon|handy|portable|poste)\w*\b[^\n]{0,30}$|(?:\b[Tt]el|\bT|\bPh|\bFon|\bM)\.?:?\\?\s*$", re.IGNORECASE)
 ID_CUES = re.compile(r"(?:\bssn\b|social[\s~]+security|sécurité[\s~]+sociale|\bnir\b|national[\s~]+id|\bbsn\b|burgerservice|identit|rijksregister|steuer|kennnummer|ausweis|sozialversicherung|passport|passeport|paspoort|reisepass|pasaporte|national[\s~]+insurance|\bnino\b|tax[\s~]+(?:id|number)|fiscal|\bdni\b|\bnie\b|\btin\b|personalausweis|personnummer|identity|\bid\b|personenkennzahl|versichert|rijbewijs|sofinummer|numéro[\s~]+national)", re.IGNORECASE)
 NOT_ID = re.compile(r"(?:grant|record|isbn|issn|doi|plate|lot|coordinates|seed|catalogue|constant|cells|frame|release|table|step|nodes|rows|order|project|förder|projekt|subsid|subvention|accession|catalog|arxiv|version|checkpoint)\w*\b[^\n]{0,25}$", re.IGNORECASE)
+#: Groups of payment card numbers, and account numbers with country and check digits.
+CARD_GROUPS = re.compile(r"\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ \-])\d{6}\2\d{5}")
+CARD_CUES = re.compile(r"\b(?:card|visa|mastercard|amex|kreditkarte|creditcard|betaalkaart|carte|tarjeta|pan)\b[^\n]{0,30}$", re.IGNORECASE)
+IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")
 LETTER_IDS = re.compile(r"(?<![\w\-])(?:[A-Z]{2}\d{7}|[A-Z]{1,2}" + SEP + r"?\d{2}" + SEP + r"?\d{2}" + SEP + r"?\d{2}" + SEP + r"?[A-Z]|[A-Z]\d{8}|[A-Z]{2}\d{6}[A-Z]?|(?=\w*\d\w*\d)[A-Z][A-Z0-9]{8}|\d{2}[A-Z]{2}\d{5}|[XYZ]-?\d{7}-?[A-Z])(?![\w\-])")
 
 
@@ -168,7 +175,7 @@ def numbers(text: str) -> list[Mention]:
         begin, end = m.span()
         raw = m[0]
         digits = "".join(filter(str.isdigit, raw.replace("(0)", "") if raw[0] == "+" else raw))
-        if not 6 <= len(digits) <= 16 or begin and (text[begin - 1] in NOT_BEFORE or text[begin - 1].isalnum()):
+        if not 6 <= len(digits) <= 19 or begin and (text[begin - 1] in NOT_BEFORE or text[begin - 1].isalnum()):
             continue
         if raw[0] == "(" and ")" not in raw:
             begin, raw = begin + 1, raw[1:]
@@ -176,6 +183,11 @@ def numbers(text: str) -> list[Mention]:
             continue
         prior, rest = _around(text, begin, end)
         flat = re.sub(r"\s+(?:%+\s*)?", " ", raw)
+        if 13 <= len(digits) <= 19 and digits[0] in "3456" and luhn(digits) and (CARD_GROUPS.fullmatch(flat) or CARD_CUES.search(prior)):
+            out.append(Mention(begin, end, "card", 6))
+            continue
+        if len(digits) > 16:
+            continue
         against = bool(NOT_ID.search(prior)) and not ID_CUES.search(prior[-30:]) and not PHONE_CUES.search(prior[-14:])
         cue = bool(ID_CUES.search(prior)) or bool(ID_CUES.search(rest))
         # a letter right behind belongs to an identity number with a check letter
@@ -205,6 +217,7 @@ def numbers(text: str) -> list[Mention]:
             out.append(Mention(begin, end, "phone", phone))
         elif score >= LEAST:
             out.append(Mention(begin, end, "idnum", score))
+    out += [Mention(*m.span(), "iban", 8) for m in IBAN.finditer(text) if iban(m[0])]
     for m in LETTER_IDS.finditer(text):
         prior, rest = _around(text, *m.span())
         score = 2 + 2 * bool(ID_CUES.search(prior) or ID_CUES.search(rest)) - 4 * bool(NOT_ID.search(prior))
@@ -236,8 +249,10 @@ STEM = rf"(?:(?!Wohnung|Haus|Woning|Huis|Adresse|Anschrift|Reprints)(?:[{UP}][{L
 GERMANIC = re.compile(
     rf"(?<![\w\-]){STEM}{GAP}{NUM}(?:(?:{GAP})?(?:bus|Whg\.?|Apt\.?){GAP}\w+)?(?:,?{GAP}(?:[A-Z]{{1,2}}-)?(?:\d{{4}}{GAP}?[A-Z]{{2}}|\d{{5}}|\d{{4}}){GAP}{TOWN1}|,{GAP}{TOWN1}|{GAP}(?:te|in){GAP}{TOWN1}(?:,?{GAP}\d{{4}}{GAP}?[A-Z]{{2}})?)?"
 )
-HOUSE = re.compile(r"(?<![\w.\-/$^{\\,])\d{1,5}(?![\d.])")
+HOUSE = re.compile(r"(?<![\w.])\d{1,5}(?!\d|\.\d)")
 AHEAD = re.compile(rf"(?:[ ~\n%]*[NSEW]\.)?[^.;:\\]{{0,70}}?(?:\b{EN_WORDS}\b)|[^.;:\\]{{0,24}}?\b{FR_WORDS}(?![{LOW}])")
+#: Characters before a house number in which a street's name may begin; twice as many behind it end the address.
+NEAR = 120
 STREET_END = ("straat", "laan", "weg", "plein", "gracht", "kade", "dijk", "singel", "dreef", "hof", "pad", "steeg", "markt", "plantsoen", "park", "ring", "baan", "lei", "straße", "strasse", "str.", "gasse", "allee", "platz", "damm", "ufer", "steig", "stieg", "chaussee", "graben", "zeile", "reihe", "pfad", "winkel", "berg", "brücke", "tor", "wall")
 STREET_BEGIN = re.compile(rf"(?:Am|An der|An den|Im|In der|Auf der|Auf dem|Unter den|Unter der|Zum|Zur|Hinter der|Op de|Aan de|Aan het|Achter de|Bij de|Straße|Str\.|Strasse|Allee|Weg|Platz|Gasse|Ufer|Damm|Zeile|Reihe|Pfad|Steig|Ring|Markt){GAP}(?:[{UP}][{LOW}\-]+{GAP}){{0,2}}$")
 NOT_HOUSE = re.compile(r"(?:Table|Line|Algorithm|Step|Section|Figure|Fig\.|Eq\.|order|Ordnung|orde|ordre)[ ~]*$")
@@ -248,7 +263,7 @@ def addresses(text: str) -> list[Mention]:
     out = []
     for h in HOUSE.finditer(text):
         at = h.start()
-        before = text[max(0, at - 50) : at]
+        before = text[max(0, at - NEAR) : at]
         if NOT_HOUSE.search(before):
             continue
         near = text[h.end() : h.end() + 80]
@@ -260,7 +275,7 @@ def addresses(text: str) -> list[Mention]:
                     out.append(Mention(*m.span(), "address", 4 + ("," in m[0])))
         stem = before.rstrip(" ~\n%\t")
         if len(stem) < len(before) and (stem.lower().endswith(STREET_END) or STREET_BEGIN.search(before)):
-            for m in GERMANIC.finditer(text, max(0, at - 50), min(len(text), at + 90)):
+            for m in GERMANIC.finditer(text, max(0, at - NEAR), min(len(text), at + 2 * NEAR)):
                 if m.start() < at < m.end():
                     out.append(Mention(*m.span(), "address", 4 + (m.end() - h.end() > 4)))
     return out
@@ -401,9 +416,18 @@ def names(text: str, lexicon: Lexicon) -> list[Mention]:
 # ---------------------------------------------------------------- operator
 
 
+ADDRESS_CUES = re.compile(r"(?:\baddress\w*|\blives?|\bliving|\bresid\w*|\bposted|\bmailed|\bsent|\bwohn\w*|\bAnschrift|\bwoon\w*|\badres\w*|\bhabit\w*|\bdemeur\w*|\bdomicili\w*|\bdirecci\w*)\W[^\n]{0,30}$", re.IGNORECASE)
+
+
+def in_context(text: str, m: Mention) -> Mention:
+    """A mention with one more point if a cue stands before it."""
+    cue = NAME_CUES.search(text, max(0, m.begin - 40), m.begin) if m.kind == "name" else ADDRESS_CUES.search(text, max(0, m.begin - 50), m.begin)
+    return m._replace(score=m.score + 1) if cue else m
+
+
 def mentions(text: str, lexicon: Lexicon) -> list[Mention]:
     """Mentions of a text in order, without overlaps."""
-    found = [m for m in (*emails(text), *addresses(text), *numbers(text), *names(text, lexicon)) if m.score >= LEAST]
+    found = [m for m in (*emails(text), *map(partial(in_context, text), addresses(text)), *numbers(text), *map(partial(in_context, text), names(text, lexicon))) if m.score >= LEAST]
     found.sort(key=lambda m: (-(m.score + (m.kind == "address")), m.begin - m.end, m.begin))
     taken: list[Mention] = []
     for m in found:
@@ -420,7 +444,7 @@ def value_of(text: str, mention: Mention) -> str:
 
 
 def redact(text: str, found: list[Mention]) -> str:
-    """The text with [EMAIL], [PHONE], [IDNUM], [ADDRESS] and [NAME] for the mentions."""
+    """The text with [EMAIL], [PHONE], [IDNUM], [ADDRESS], [NAME], [CARD] and [IBAN] for the mentions."""
     out, at = [], 0
     for m in found:
         out += [text[at : m.begin], f"[{m.kind.upper()}]"]
@@ -428,16 +452,21 @@ def redact(text: str, found: list[Mention]) -> str:
     return "".join(out) + text[at:]
 
 
-def learn_names(df: DataFrame, column: str = "text", share: float = 1e-5) -> Lexicon:
-    """Surnames from all author lists, and given names from what stands before them, over all rows.
+#: Kinds `found` lists; card and account numbers are replaced, but not listed.
+LISTED_KINDS = frozenset(("email", "phone", "idnum", "address", "name"))
+#: Rows of the lexicon up to which it is sent to all tasks; a larger one is joined to the documents.
+BROADCAST_NAMES = 200_000
+
+
+def learn_names(df: DataFrame, column: str = "text") -> DataFrame:
+    """(word, surname, given, either): surnames from all author lists, and given names from what stands before them, over all rows.
 
-    A word must occur in `share` of all documents (two at least), so what comes to the driver is bounded by the names
-    a document holds divided by the share. A given name must stand with two different surnames. One that is an author's
-    surname, too, must do so outside lists of authors; it is a given name anywhere if it does so as often as authors
-    have it, else only where the context says so (`Lexicon.either`).
+    A word must occur in two documents, however many there are. A given name must stand with two different surnames.
+    One that is an author's surname, too, must do so outside lists of authors; it is a given name anywhere if it does
+    so as often as authors have it, else only where the context says so (`either`). The lexicon is a table in the
+    shared folder.
     """
     texts = df.where(F.col(column).isNotNull()).select(column)
-    least = max(2, int(share * df.count()))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter[tuple[str | None, str, bool]] = Counter()
@@ -448,7 +477,7 @@ def learn_names(df: DataFrame, column: str = "text", share: float = 1e-5) -> Lex
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([p[2] for p in pairs], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["given", "surname", "listed", "docs"])
 
     seen = written(map_arrow(texts, one, "given string, surname string, listed boolean, docs long").groupBy("given", "surname", "listed").agg(F.sum("docs").alias("docs")), "names")
-    authors = seen.where(F.col("given").isNull() & (F.col("docs") >= least)).select("surname", F.col("docs").alias("author"))
+    authors = seen.where("given is null and docs >= 2").select("surname", F.col("docs").alias("author"))
     given = (
         seen.where("given is not null")
         .join(authors.select("surname"), "surname")
@@ -456,42 +485,76 @@ def learn_names(df: DataFrame, column: str = "text", share: float = 1e-5) -> Lex
         .where("author is null or not listed")
         .groupBy("given", "author")
         .agg(F.sum("docs").alias("docs"), F.countDistinct("surname").alias("with"))
-        .where((F.col("docs") >= least) & (F.col("with") >= 2))
+        .where((F.col("docs") >= 2) & (F.col("with") >= 2) & (F.length("given") > 2) & ~F.col("given").isin(*sorted(NOT_GIVEN)))
     )
-    rows = [r for r in given.collect() if r.given not in NOT_GIVEN and len(r.given) > 2]
-    mainly = frozenset(r.given for r in rows if r.author is None or r.docs >= r.author)
-    return Lexicon(frozenset(r.surname for r in authors.collect()), mainly, frozenset(r.given for r in rows) - mainly)
+    mainly = F.col("author").isNull() | (F.col("docs") >= F.col("author"))
+    roles = authors.select(F.col("surname").alias("word"), F.lit(True).alias("surname"), F.lit(False).alias("given"), F.lit(False).alias("either"))
+    roles = roles.unionByName(given.select(F.col("given").alias("word"), F.lit(False).alias("surname"), mainly.alias("given"), (~mainly).alias("either")))
+    return written(roles.groupBy("word").agg(*(F.bool_or(c).alias(c) for c in ("surname", "given", "either"))), "lexicon")
 
 
-def detect(df: DataFrame, id_column: str = "doc_id", column: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
-    """(doc_id, redacted, mentions): the text with placeholders and its mentions in order."""
+def lexicon_of(rows: list) -> Lexicon:
+    """A lexicon in memory, from rows of its table."""
+    return Lexicon(*(frozenset(r[0] for r in rows if r[k]) for k in (1, 2, 3)))
+
+
+def chain_words(text: str) -> set[str]:
+    """Words of a text that the lexicon can be asked for, lower case."""
+    return {p[2].lower() for m in CHAIN.finditer(text) for p in _parts(text, m)}
+
+
+def scanned(df: DataFrame, find: Callable[[list, list[list[Mention]]], list[pa.Array]], schema: str, id_column: str, column: str, lexicon: DataFrame | Lexicon | None, most: int = BROADCAST_NAMES) -> DataFrame:
+    """Rows that `find` makes of ids, texts and their mentions.
+
+    A lexicon of at most `most` rows is sent to all tasks. A larger one is joined to the words of the names each
+    document could hold, and a document then meets its own part of it; the results are the same.
+    """
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(lexicon or learn_names(df, column))
+    chosen = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"))
+    names_ = [f.strip().split(" ")[0] for f in re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", schema)).split(",")]
+    if lexicon is None:
+        lexicon = learn_names(df, column)
+    if isinstance(lexicon, DataFrame) and len(rows := lexicon.limit(most + 1).collect()) <= most:
+        lexicon = lexicon_of(rows)
+    if isinstance(lexicon, Lexicon):
+        sent = spark.sparkContext.broadcast(lexicon)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            return pa.RecordBatch.from_arrays(find(batch.column(0), texts, [mentions(t, sent.value) if t else [] for t in texts]), names=names_)
+
+        return map_arrow(chosen, one, schema)
+
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        asked = [(doc, w) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for w in chain_words(text)]
+        return pa.RecordBatch.from_arrays([pa.array([a[0] for a in asked], pa.int64()), pa.array([a[1] for a in asked], pa.string())], names=["id", "word"])
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, parts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        found = [mentions(t, lexicon_of([(r["word"], r["surname"], r["given"], r["either"]) for r in p or ()])) if t else [] for t, p in zip(texts, parts)]
+        return pa.RecordBatch.from_arrays(find(batch.column(0), texts, found), names=names_)
+
+    answers = map_arrow(chosen, ask, "id long, word string").distinct().join(lexicon, "word").groupBy("id").agg(F.collect_list(F.struct("word", "surname", "given", "either")).alias("part"))
+    met = chosen.join(answers, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "part")
+    return map_arrow(met, own, schema)
+
+
+def detect(df: DataFrame, id_column: str = "doc_id", column: str = "text", lexicon: DataFrame | Lexicon | None = None, most: int = BROADCAST_NAMES) -> DataFrame:
+    """(doc_id, redacted, mentions): the text with placeholders and its mentions in order."""
     kind = pa.list_(pa.struct([("pii_type", pa.string()), ("value", pa.string()), ("begin", pa.int32()), ("score", pa.int32())]))
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        redacted, rows = [], []
-        for text in batch.column(1).to_pylist():
-            found = mentions(text, sent.value) if text else []
-            redacted.append(redact(text, found) if found else text)
-            rows.append([{"pii_type": m.kind, "value": value_of(text, m), "begin": m.begin, "score": m.score} for m in found])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(redacted, pa.string()), pa.array(rows, kind)], names=["doc_id", "redacted", "mentions"])
+    def rows(ids: pa.Array, texts: list, found: list[list[Mention]]) -> list[pa.Array]:
+        listed = [[{"pii_type": m.kind, "value": value_of(t, m), "begin": m.begin, "score": m.score} for m in ms] for t, ms in zip(texts, found)]
+        return [ids, pa.array([redact(t, ms) if ms else t for t, ms in zip(texts, found)], pa.string()), pa.array(listed, kind)]
 
-    chosen = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"))
-    return map_arrow(chosen, one, "doc_id long, redacted string, mentions array<struct<pii_type: string, value: string, begin: int, score: int>>")
+    return scanned(df, rows, "doc_id long, redacted string, mentions array<struct<pii_type: string, value: string, begin: int, score: int>>", id_column, column, lexicon, most)
 
 
-def found(df: DataFrame, id_column: str = "doc_id", column: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
+def found(df: DataFrame, id_column: str = "doc_id", column: str = "text", lexicon: DataFrame | Lexicon | None = None, most: int = BROADCAST_NAMES) -> DataFrame:
     """(doc_id, pii_type, value), distinct; the mentions alone, the text stays in the scan stage."""
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(lexicon or learn_names(df, column))
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: dict[tuple[int, str, str], None] = {}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for m in mentions(text, sent.value):
-                rows[doc, m.kind, value_of(text, m)] = None
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "pii_type", "value"])
-
-    chosen = df.where(F.col(column).isNotNull() & (F.col(column) != "")).select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"))
-    return map_arrow(chosen, one, "doc_id long, pii_type string, value string").distinct()
+    def rows(ids: pa.Array, texts: list, found_: list[list[Mention]]) -> list[pa.Array]:
+        each = list(dict.fromkeys((doc, m.kind, value_of(t, m)) for doc, t, ms in zip(ids.to_pylist(), texts, found_) for m in ms if m.kind in LISTED_KINDS))
+        return [pa.array([e[0] for e in each], pa.int64()), pa.array([e[1] for e in each], pa.string()), pa.array([e[2] for e in each], pa.string())]
+
+    return scanned(df, rows, "doc_id long, pii_type string, value string", id_column, column, lexicon, most).distinct()

@@ -410,7 +410,7 @@ def test_checksums():
 def test_names_are_learned(spark):
     rows = [(k, "\\author{A.~Dunmarrow \\and B.~Veldhoorn}\nWe thank Odette Dunmarrow and Odette Veldhoorn. The Veldhoorn constant.") for k in range(4)]
     df = spark.createDataFrame([*rows, (9, None), (10, ""), (3, rows[3][1])], "doc_id long, text string")
-    assert pii.learn_names(df) == pii.Lexicon(frozenset({"dunmarrow", "veldhoorn"}), frozenset({"odette"}))
+    assert pii.lexicon_of(pii.learn_names(df).collect()) == pii.Lexicon(frozenset({"dunmarrow", "veldhoorn"}), frozenset({"odette"}))
     got = {tuple(r) for r in pii.found(df).collect()}
     assert got == {(k, "name", n) for k in range(4) for n in ("Odette Dunmarrow", "Odette Veldhoorn")}
     assert {r.doc_id: r.redacted for r in pii.detect(df).where("doc_id > 8").collect()} == {9: None, 10: ""}
@@ -423,7 +423,21 @@ def test_names_that_are_also_surnames(spark):
     rows += [(20 + k, "M. Garcia, and N. Klein, and B. van der Becker, and others") for k in range(5)]
     rows += [(30, "We thank Garcia Klein. Becker, Thomas too. Lists: Becker, Thomas, Klein. J. Thomas Klein is cited; Thomas alone."), (31, "Garcia Klein alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    lexicon = pii.learn_names(df)
+    lexicon = pii.lexicon_of(pii.learn_names(df).collect())
     assert lexicon == pii.Lexicon(frozenset({"becker", "klein", "thomas", "garcia"}), frozenset({"thomas"}), frozenset({"garcia"}))
     want = {(k, "name", f"Thomas {('Becker', 'Klein')[k % 2]}") for k in range(6)} | {(30, "name", "Garcia Klein"), (30, "name", "Becker, Thomas")}
     assert {tuple(r) for r in pii.found(df).collect()} == want
+    assert {tuple(r) for r in pii.found(df, most=0).collect()} == want  # a lexicon beyond the size that is sent to all tasks
+    assert sorted(map(str, pii.detect(df, most=0).collect())) == sorted(map(str, pii.detect(df).collect()))
+
+
+def test_cards_and_accounts_are_replaced_but_not_listed(spark):
+    text = "Paid by card 4539 5787 6362 1486 (not 4539 5787 6362 1487) from GB82 WEST 1234 5698 7654 32, not GB83 WEST 1234 5698 7654 32."
+    assert pii.redact(text, pii.mentions(text, LEX)) == "Paid by card [CARD] (not 4539 5787 6362 1487) from [IBAN], not GB83 WEST 1234 5698 7654 32."
+    df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    assert pii.found(df).count() == 0 and pii.detect(df).count() == 3
+
+
+def test_addresses_in_markup_and_at_sentence_ends():
+    for text, want in (("\\address{12 Elm Street, Pellworthy}", "12 Elm Street, Pellworthy"), ("Er wohnt in der Lindenstrasse 12.", "Lindenstrasse 12")):
+        assert [pii.value_of(text, m) for m in pii.mentions(text, LEX) if m.kind == "address"] == [want]
