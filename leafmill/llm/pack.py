@@ -1,11 +1,17 @@
 """Problem 7: articles into training windows of a fixed number of tokens, related articles together.
 
-Retrieval packing: articles are spread over shards by a hash of their id; each shard holds an inverted index of its
-articles with BM25 weights whose document frequencies are those of the whole corpus (terms are hashed into a table of
-fixed size, so the frequencies are one bounded vector). In a shard the largest unused article seeds a window, the
-index returns the unused articles in order of their score, and those that fit fill the window until a third of it is
-left; the rest takes the unused article, or the two of them, that leave least room, the better score on ties. Shards have a bounded number of articles, so memory and time of a task do
-not depend on the corpus. Related articles in other shards are not found; the more shards, the more of them are missed.
+Retrieval packing: articles are put in an order of topics and cut into shards of about `SHARD` neighbours in it; each
+shard holds an inverted index of its articles with BM25 weights whose document frequencies are those of the whole
+corpus (terms are hashed into a table of fixed size, so the frequencies are one bounded vector). In a shard the largest
+unused article seeds a window, the index returns the unused articles in order of their score, and those that fit fill
+the window until a third of it is left; the rest takes the unused article, or the two of them, that leave least room,
+the better score on ties.
+
+The order of topics: `CENTROIDS` centroids of term vectors are fitted on a bounded sample (`SAMPLE` articles, by hash),
+and each article is placed by its nearest centroids, the nearest first; centroids are in a chain, each next to the one
+most like it. Versions and copies of an article have the same centroids and stay together. The order is a range
+partitioning, so no cell is hot, and shards have a bounded number of articles, so memory and time of a task do not
+depend on the corpus. What lies in another shard is not found; README has the measured recall.
 
 An article above the window is cut into full windows of its own; its rest is packed like an article.
 
@@ -20,24 +26,31 @@ import functools
 import math
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrowtext import map_arrow
-from leafmill.llm.tokens import VOCABULARY, PieceCounts, pieces_pattern
+from leafmill.llm.tokens import VOCABULARY, PieceCounts, pieces_pattern, ship_vocabulary
 from leafmill.llm.store import written
 
 WINDOW = 4096
 #: Articles in a shard on average, buckets of hashed terms, and the share of a shard's articles above which a term is stored as a row of all.
-SHARD = 1500
+SHARD = 5000
 BUCKETS = 1 << 17
 COMMON = 1 / 16
 K1, B = 1.2, 0.75
+#: Centroids, how many of them place an article, and articles they are fitted on.
+CENTROIDS, PLACES, SAMPLE, FIT_ROUNDS = 64, 4, 3000, 5
 WORD = re.compile(r"^ ?([^\W\d_]{3,})$")
 
+#: Neighbours looked at together, best first.
+NEAREST = 64
 OUT = "shard int, window_no int, doc_id long, part_no int, begin long, tokens int, score float"
 
 
@@ -68,11 +81,11 @@ def profiles(docs: DataFrame, id_column: str = "doc_id", column: str = "text", p
         tokens, terms, freqs = [], [], []
         for text in batch.column(1).to_pylist():
             total, own = 0, {}
-            for piece in findall(text):
+            for piece, times in Counter(findall(text)).items():
                 n, term = lookup[piece]
-                total += n
+                total += n * times
                 if term >= 0:
-                    own[term] = own.get(term, 0) + 1
+                    own[term] = own.get(term, 0) + times
             tokens.append(total)
             order = sorted(own)
             terms.append(order)
@@ -115,21 +128,36 @@ class Index:
         return out
 
 
-def closest(left: np.ndarray, unused: np.ndarray, score: np.ndarray, rank: np.ndarray, room: int) -> list[int]:
-    """The unused article, or two, that fill the room best; nothing if none fits."""
-    fits = np.flatnonzero(unused & (left <= room))
-    if not len(fits):
-        return []
-    fits = fits[np.lexsort((-rank[fits], score[fits], left[fits]))]  # ascending size, the better score last of a size
-    size = left[fits]
-    one = int(size[-1])
-    if len(fits) > 1 and one < room:
-        mate = np.minimum(np.searchsorted(size, room - size, side="right") - 1, np.arange(len(size)) - 1)  # a partner below in the order
-        both = np.where(mate >= 0, size + size[np.maximum(mate, 0)], 0)
-        k = len(both) - 1 - int(both[::-1].argmax())
-        if both[k] > one:
-            return [int(fits[k]), int(fits[mate[k]])]
-    return [int(fits[-1])]
+class BySize:
+    """Articles in the order of their size, for the one or two that fill a room best."""
+
+    def __init__(self, left: np.ndarray, rank: np.ndarray):
+        self.left = left
+        self.order = np.lexsort((-rank, left))  # ascending size, the first in rank last of a size
+        self.size = left[self.order]
+
+    def closest(self, unused: np.ndarray, score: np.ndarray, room: int) -> list[int]:
+        """The unused article, or two, that fill the room best, the better score on ties; nothing if none fits."""
+        fits = self.order[: np.searchsorted(self.size, room, side="right")]
+        fits = fits[unused[fits]]
+        if not len(fits):
+            return []
+        size = self.left[fits]
+
+        def best(of: int, but: int = -1) -> int:
+            low, high = np.searchsorted(size, (of, of + 1))
+            same = fits[low:high][fits[low:high] != but]
+            return int(same[len(same) - 1 - int(score[same][::-1].argmax())])
+
+        one = int(size[-1])
+        if len(fits) > 1 and one < room:
+            mate = np.minimum(np.searchsorted(size, room - size, side="right") - 1, np.arange(len(size)) - 1)  # a partner below in the order
+            both = np.where(mate >= 0, size + size[np.maximum(mate, 0)], 0)
+            k = len(both) - 1 - int(both[::-1].argmax())
+            if both[k] > one:
+                first = best(int(size[k]))
+                return [first, best(int(size[mate[k]]), first)]
+        return [best(one)]
 
 
 def pack_shard(ids: list[int | None], tokens: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int, float]]:
@@ -148,6 +176,7 @@ def pack_shard(ids: list[int | None], tokens: np.ndarray, index: Index, window:
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
     unused = left > 0
+    by_size = BySize(left, rank)
     for seed in order:
         if not unused[seed]:
             continue
@@ -157,14 +186,15 @@ def pack_shard(ids: list[int | None], tokens: np.ndarray, index: Index, window:
         if room > 0:
             score = index.scores(int(seed), len(ids))
             near = np.flatnonzero(unused & (score > 0) & (left <= room))
-            for d in near[np.lexsort((rank[near], -score[near]))]:
-                if room * 3 <= window:
-                    break
-                if left[d] <= room:
-                    unused[d] = False
-                    room -= left[d]
-                    out.append((number, int(d), int(part[d]), int(begin[d]), int(left[d]), float(score[d])))
-            while room > 0 and (last := closest(left, unused, score, rank, room)):
+            while room * 3 > window and len(near):
+                few = near if len(near) <= NEAREST else near[np.argpartition(-score[near], NEAREST)[:NEAREST]]
+                for d in few[np.lexsort((rank[few], -score[few]))]:
+                    if room * 3 > window and left[d] <= room:
+                        unused[d] = False
+                        room -= left[d]
+                        out.append((number, int(d), int(part[d]), int(begin[d]), int(left[d]), float(score[d])))
+                near = near[unused[near] & (left[near] <= room) & ~np.isin(near, few)]  # as many more as needed
+            while room > 0 and (last := by_size.closest(unused, score, room)):
                 for d in last:
                     unused[d] = False
                     room -= left[d]
@@ -173,46 +203,125 @@ def pack_shard(ids: list[int | None], tokens: np.ndarray, index: Index, window:
     return out
 
 
+def weights(flat: np.ndarray, freqs: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit term weights of articles, one after the other."""
+    w = idf[flat] * np.log1p(freqs.astype(np.float32))
+    sizes = np.diff(bounds)
+    norm = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), w * w, len(sizes)))
+    return (w / np.repeat(np.maximum(norm, 1e-9), sizes)).astype(np.float32)
+
+
+def likeness(flat: np.ndarray, w: np.ndarray, bounds: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosines (articles × centroids)."""
+    out = np.zeros((len(bounds) - 1, centroids.shape[1]), np.float32)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    for at in range(0, len(full), 64):
+        rows = full[at : at + 64]
+        low, high = bounds[rows[0]], bounds[rows[-1] + 1]
+        out[rows] = np.add.reduceat(centroids[flat[low:high]].astype(np.float32) * w[low:high, None], bounds[rows] - low, axis=0)
+    return out
+
+
+def fit_centroids(flat: np.ndarray, freqs: np.ndarray, bounds: np.ndarray, idf: np.ndarray, count: int = CENTROIDS) -> np.ndarray:
+    """Centroids (terms × centroids) of the sample in the order of a chain: spherical k-means, begun at articles spread over the sample."""
+    n = len(bounds) - 1
+    count = max(1, min(count, n))
+    w, row = weights(flat, freqs, bounds, idf), np.repeat(np.arange(n), np.diff(bounds))
+    terms, flat = np.unique(flat, return_inverse=True)  # the sample has a small part of all terms
+    own = np.full(n, -1)
+    own[np.linspace(0, n - 1, count).astype(int)] = np.arange(count)
+    for _ in range(FIT_ROUNDS):
+        used = own[row] >= 0
+        centroids = np.bincount(flat[used] * count + own[row][used], w[used], len(terms) * count).reshape(len(terms), count)
+        centroids = (centroids / np.maximum(np.linalg.norm(centroids, axis=0), 1e-9)).astype(np.float32)
+        own = likeness(flat, w, bounds, centroids).argmax(1)
+    alike = centroids.T @ centroids
+    chain, left = [0], set(range(1, count))
+    while left:
+        chain.append(max(sorted(left), key=lambda k: alike[chain[-1], k]))
+        left.remove(chain[-1])
+    out = np.zeros((BUCKETS, count), np.float16)
+    out[terms] = centroids[:, chain]
+    return out
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values one after the other, bounds) of a list column."""
+    column = batch.column(batch.schema.get_field_index(name))
+    bounds = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def placed(vectors: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Profiles with their place in the order of topics: the numbers of the nearest centroids."""
+    spark = vectors.sparkSession
+    drawn = vectors.select("terms", "freqs", F.xxhash64("doc_id", "tokens", "terms").alias("h")).orderBy("h").limit(SAMPLE).select("terms", "freqs").toArrow()
+    if not drawn.num_rows:
+        return vectors.withColumn("place", F.lit(0).cast("long"))
+    sampled = drawn.combine_chunks().to_batches()[0]
+    (flat, bounds), (freqs, _) = _lists(sampled, "terms"), _lists(sampled, "freqs")
+    sent = spark.sparkContext.broadcast((fit_centroids(flat, freqs, bounds, idf), idf))  # a table of fixed size
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        centroids, idf_ = sent.value
+        (flat, bounds), (freqs, _) = _lists(batch, "terms"), _lists(batch, "freqs")
+        like = likeness(flat, weights(flat, freqs, bounds, idf_), bounds, centroids)
+        nearest = np.argsort(-like, axis=1, kind="stable")[:, :PLACES]
+        place = np.zeros(batch.num_rows, np.int64)
+        for k in range(nearest.shape[1]):
+            place = place * CENTROIDS + nearest[:, k]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
+
+    return map_arrow(vectors, one, "doc_id long, tokens int, terms array<int>, freqs array<short>, place long")
+
+
 def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, id_column: str = "doc_id", column: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(shard, window_no, doc_id, part_no, begin, tokens, score): where each token of each article is. The profiles are written once to the shared folder and read for the statistics and for the packing."""
     spark = docs.sparkSession
+    ship_vocabulary(spark, path)
     vectors = written(profiles(docs, id_column, column, path), "profiles").where("tokens > 0")
     total = vectors.agg(F.count("*").alias("n"), F.avg(F.aggregate("freqs", F.lit(0), lambda a, f: a + f)).alias("mean")).first()
     n, mean = total.n or 0, total.mean or 1.0
     df = np.zeros(BUCKETS, np.int64)  # at most BUCKETS rows come back, whatever the corpus
-    for row in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toLocalIterator():
-        df[row.term] = row["count"]
+    counted = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+    df[np.array(counted["term"], np.int64)] = np.array(counted["count"], np.int64)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     sent = spark.sparkContext.broadcast(idf)
 
-    def one(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        number = table.column("shard")[0].as_py()
-        ids = table.column("doc_id").to_pylist()
-        tokens = np.array(table.column("tokens"), np.int64)
-
-        def lists(name: str) -> list[np.ndarray]:
-            chunk = table.column(name).combine_chunks()
-            flat, at = np.asarray(chunk.values), np.asarray(chunk.offsets)
-            return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-
-        rows = pack_shard(ids, tokens, Index(lists("terms"), lists("freqs"), sent.value, mean), window)
-        columns = list(zip(*rows)) or [()] * 6
-        return pa.table(
-            {
-                "shard": pa.array([number] * len(rows), pa.int32()),
-                "window_no": pa.array(columns[0], pa.int32()),
-                "doc_id": pa.array([ids[d] for d in columns[1]], pa.int64()),
-                "part_no": pa.array(columns[2], pa.int32()),
-                "begin": pa.array(columns[3], pa.int64()),
-                "tokens": pa.array(columns[4], pa.int32()),
-                "score": pa.array(columns[5], pa.float32()),
-            }
-        )
-
-    shards = max(1, math.ceil(n / shard))
-    key = F.pmod(F.xxhash64("doc_id", "tokens", "terms"), F.lit(shards).cast("long")).cast("int")
-    return vectors.withColumn("shard", key).groupBy("shard").applyInArrow(one, OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards are cut from the rows of a part as they come; none is above one and a half times the size."""
+        from pyspark import TaskContext
+
+        part, held, size, number = TaskContext.get().partitionId(), [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids = table.column(0).to_pylist()
+
+            def lists(name: str) -> list[np.ndarray]:
+                flat, at = _lists(table, name)
+                return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+            rows = pack_shard(ids, np.array(table.column(1), np.int64), Index(lists("terms"), lists("freqs"), sent.value, mean), window)
+            columns = list(zip(*rows))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float32())
+            values = [columns[0], [ids[d] for d in columns[1]], *columns[2:]]
+            return pa.RecordBatch.from_arrays([pa.array([part << 10 | number] * len(rows), pa.int32()), *(pa.array(v, k) for v, k in zip(values, kinds))], names=["shard", "window_no", "doc_id", "part_no", "begin", "tokens", "score"])
+
+        for batch in batches:
+            while batch.num_rows:
+                take = min(batch.num_rows, shard + shard // 2 - size)
+                held.append(batch.slice(0, take))
+                size, batch = size + take, batch.slice(take)
+                if size >= shard + shard // 2:
+                    yield packed()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield packed()
+
+    key = ("place", F.xxhash64("doc_id", "tokens", "terms"))
+    ordered = placed(vectors, idf).repartitionByRange(max(1, math.ceil(n / shard)), *key).sortWithinPartitions(*key)
+    return ordered.select("doc_id", "tokens", "terms", "freqs").mapInArrow(run, OUT)
 
 
 def oversized(docs: DataFrame, window: int = WINDOW) -> DataFrame:
