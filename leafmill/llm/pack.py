@@ -218,7 +218,7 @@ def likeness(flat: np.ndarray, w: np.ndarray, bounds: np.ndarray, centroids: np.
     for at in range(0, len(full), 64):
         rows = full[at : at + 64]
         low, high = bounds[rows[0]], bounds[rows[-1] + 1]
-        out[rows] = np.add.reduceat(centroids[flat[low:high]].astype(np.float32) * w[low:high, None], bounds[rows] - low, axis=0)
+        out[rows] = np.add.reduceat(centroids[flat[low:high]] * w[low:high, None], bounds[rows] - low, axis=0)
     return out
 
 
@@ -240,7 +240,7 @@ def fit_centroids(flat: np.ndarray, freqs: np.ndarray, bounds: np.ndarray, idf:
     while left:
         chain.append(max(sorted(left), key=lambda k: alike[chain[-1], k]))
         left.remove(chain[-1])
-    out = np.zeros((BUCKETS, count), np.float16)
+    out = np.zeros((BUCKETS, count), np.float32)
     out[terms] = centroids[:, chain]
     return out
 
@@ -252,27 +252,40 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def placed(vectors: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Profiles with their place in the order of topics: the numbers of the nearest centroids."""
+def placed(vectors: DataFrame, idf: np.ndarray, parts: int) -> DataFrame:
+    """Profiles with their place in the order of topics and the part of the order they are in; parts are even by the sample."""
     spark = vectors.sparkSession
-    drawn = vectors.select("terms", "freqs", F.xxhash64("doc_id", "tokens", "terms").alias("h")).orderBy("h").limit(SAMPLE).select("terms", "freqs").toArrow()
+    drawn = vectors.select("terms", "freqs", F.xxhash64("doc_id", "tokens", "terms").alias("h")).orderBy("h").limit(SAMPLE).toArrow()
     if not drawn.num_rows:
-        return vectors.withColumn("place", F.lit(0).cast("long"))
+        return vectors.select("*", F.lit(0).cast("long").alias("place"), F.lit(0).alias("part"))
     sampled = drawn.combine_chunks().to_batches()[0]
     (flat, bounds), (freqs, _) = _lists(sampled, "terms"), _lists(sampled, "freqs")
-    sent = spark.sparkContext.broadcast((fit_centroids(flat, freqs, bounds, idf), idf))  # a table of fixed size
+    centroids = fit_centroids(flat, freqs, bounds, idf)
+    keys = np.sort(_places(flat, freqs, bounds, np.array(sampled.column("h"), np.int64), centroids, idf))
+    parts = min(parts, max(1, len(keys) // 8))  # larger parts hold several shards
+    cuts = keys[(np.arange(1, parts) * len(keys)) // parts]
+    sent = spark.sparkContext.broadcast((centroids.astype(np.float16), idf, cuts))  # tables of fixed size
+    state: dict[str, np.ndarray] = {}
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        centroids, idf_ = sent.value
+        if not state:
+            state["centroids"] = sent.value[0].astype(np.float32)
         (flat, bounds), (freqs, _) = _lists(batch, "terms"), _lists(batch, "freqs")
-        like = likeness(flat, weights(flat, freqs, bounds, idf_), bounds, centroids)
-        nearest = np.argsort(-like, axis=1, kind="stable")[:, :PLACES]
-        place = np.zeros(batch.num_rows, np.int64)
-        for k in range(nearest.shape[1]):
-            place = place * CENTROIDS + nearest[:, k]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
+        place = _places(flat, freqs, bounds, np.array(batch.column(4), np.int64), state["centroids"], sent.value[1])
+        part = np.searchsorted(sent.value[2], place, side="right").astype(np.int32)
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(place), pa.array(part)], names=[*batch.schema.names[:4], "place", "part"])
 
-    return map_arrow(vectors, one, "doc_id long, tokens int, terms array<int>, freqs array<short>, place long")
+    return map_arrow(vectors.select("doc_id", "tokens", "terms", "freqs", F.xxhash64("doc_id", "tokens", "terms").alias("h")), one, "doc_id long, tokens int, terms array<int>, freqs array<short>, place long, part int")
+
+
+def _places(flat: np.ndarray, freqs: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Places in the order of topics: the numbers of the nearest centroids, then a hash, so that no place is hot."""
+    like = likeness(flat, weights(flat, freqs, bounds, idf), bounds, centroids)
+    nearest = np.argsort(-like, axis=1, kind="stable")[:, :PLACES]
+    place = np.zeros(len(like), np.int64)
+    for k in range(nearest.shape[1]):
+        place = place * CENTROIDS + nearest[:, k]
+    return place << 32 | hashes & 0xFFFFFFFF
 
 
 def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, id_column: str = "doc_id", column: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -319,8 +332,8 @@ def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, id_column: s
         if held:
             yield packed()
 
-    key = ("place", F.xxhash64("doc_id", "tokens", "terms"))
-    ordered = placed(vectors, idf).repartitionByRange(max(1, math.ceil(n / shard)), *key).sortWithinPartitions(*key)
+    parts = max(1, math.ceil(n / shard))
+    ordered = placed(vectors, idf, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("place")
     return ordered.select("doc_id", "tokens", "terms", "freqs").mapInArrow(run, OUT)
 
 
