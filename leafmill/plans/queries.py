@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
@@ -206,17 +206,10 @@ def filename_from_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "md_documents").select("doc_id", T.filename_from_url(F.concat(F.lit("https://files.example/a%20b/"), name, F.lit("?x=1#y")), ct).alias("filename"))
 
 
-@query("""with e as (select doc_id, case doc_id % 4 when 0 then '<?xml version="1.0"?><' || 'act>' || text when 1 then repeat('x', 300) || '<ARTICLE>' when 2 then '<html>' || text else text end as t from documents)
-    select doc_id, contains(t[1:200], '<') and regexp_matches(translate(t[1:8000], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'FORMEX|<ACT|ENACTING\\.TERMS|CONS\\.DOC|<CONSID|<ARTICLE') as structured
-    from (select doc_id, t from e where octet_length(encode(t)) = length(t))""")
+@query(f"""with e as (select doc_id, case doc_id % 4 when 0 then '<?xml version="1.0"?><' || 'act>' || text when 1 then repeat('x', 300) || '<ARTICLE>' when 2 then '<html>' || text else text end as t from documents),
+    h as (select doc_id, hex(encode(t))[1:16000] as head from e)
+    select doc_id, regexp_matches(head[1:400], '^(?:..)*?3C') and regexp_matches(head, '^(?:..)*?(?:{'|'.join(''.join(f'(?:{ord(c):02X}|{ord(c.lower()):02X})' for c in mark) for mark in P.STRUCTURED_XML)})') as structured from h""")
 def structured_xml_sniff(spark: SparkSession, d: str) -> DataFrame:
-    """Whether bytes made from the articles begin like a structured act: the articles in ASCII, as its SQL has them; `structured_xml_sniff_all` has all."""
-    made = _sniffed(spark, d).where(F.octet_length("t") == F.length("t"))
-    return made.select("doc_id", R.looks_like_structured_xml(F.encode("t", "UTF-8")).alias("structured"))
-
-
-@query()
-def structured_xml_sniff_all(spark: SparkSession, d: str) -> DataFrame:
     """Whether bytes made from all articles begin like a structured act."""
     return _sniffed(spark, d).select("doc_id", R.looks_like_structured_xml(F.encode("t", "UTF-8")).alias("structured"))
 
@@ -385,7 +378,7 @@ S_ISO = s_case("upper(lang)", P.ISO3)
 
 
 @query(
-    f"""with r as (select req_id, upper({s_first('query', P.ECLI_ECHR)}) as key, {S_ISO} as wanted from identifiers where {s_has('query', P.ECLI_ECHR)} and arrived_at is not null),
+    f"""with r as (select req_id, upper({s_first('query', P.ECLI_ECHR)}) as key, {S_ISO} as wanted from identifiers where {s_has('query', P.ECLI_ECHR)}),
     j as (select r.req_id, c.itemid, c.ord, upper(coalesce(c.lang3, '')) as lang3, case when upper(coalesce(c.lang3, '')) = r.wanted then 0 when upper(coalesce(c.lang3, '')) = 'ENG' then 1 when upper(coalesce(c.lang3, '')) = 'FRE' then 2 else 3 end as p
         from (select distinct * from r) r join candidates c on upper(c.ecli) = r.key where c.itemid is not null and c.itemid <> ''),
     b as (select *, row_number() over (partition by req_id, itemid order by p, ord, lang3) as k from j)
@@ -393,7 +386,7 @@ S_ISO = s_case("upper(lang)", P.ISO3)
 )
 def candidate_rank(spark: SparkSession, d: str) -> DataFrame:
     """Language versions of each requested human-rights decision in order of preference."""
-    asked = table(spark, d, "identifiers").where("arrived_at is not null").select("req_id", F.upper(F.nullif(F.regexp_extract("query", f"(?i){P.ECLI_ECHR}", 0), F.lit(""))).alias("ecli"), F.upper("lang").alias("lang"))
+    asked = table(spark, d, "identifiers").select("req_id", F.upper(F.nullif(F.regexp_extract("query", f"(?i){P.ECLI_ECHR}", 0), F.lit(""))).alias("ecli"), F.upper("lang").alias("lang"))
     return assemble.rank_candidates(table(spark, d, "candidates"), asked.where("ecli is not null").distinct())
 
 
@@ -534,26 +527,27 @@ def structured_act(spark: SparkSession, d: str) -> DataFrame:
     return convert.convert(acts, ["doc_id"]).select("doc_id", "markdown")
 
 
-def _wrapped(spark: SparkSession, d: str, format_: str, head: str, item: str, tail: str, ref: str | None = None) -> DataFrame:
+def _wrapped(spark: SparkSession, d: str, format_: str, head: str | Column, item: str, tail: str, ref: str | None = None) -> DataFrame:
     key = F.struct("ord", "note_id", "text")
     items = assemble.ordered_join(key, F.expr(item.replace("{t}", ESC.format(x="text"))), "")
-    made = table(spark, d, "notes").groupBy("doc_id").agg(items.alias("i")).select("doc_id", F.lit(format_).alias("format"), F.concat(F.lit(head), "i", F.lit(tail)).alias("content"), F.lit(ref).alias("ref"))
+    made = table(spark, d, "notes").groupBy("doc_id").agg(items.alias("i")).select("doc_id", F.lit(format_).alias("format"), F.concat(F.lit(head) if isinstance(head, str) else head, "i", F.lit(tail)).alias("content"), F.lit(ref).alias("ref"))
     return convert.convert(made, ["doc_id"]).select("doc_id", "markdown")
 
 
 S_NOTE = f"n as (select doc_id, ord, note_id, trim(regexp_replace(text, {q(P.WS + '+')}, ' ', 'g')) as t from notes)"
 
 
-@query(f"with {S_NOTE} select doc_id, '# Ruling' || chr(10) || chr(10) || '### Section' || chr(10) || chr(10) || string_agg((ord + 1) || '. ' || t, chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
+@query(f"with {S_NOTE} select doc_id, '# Ruling' || chr(10) || chr(10) || '### Section' || chr(10) || chr(10) || string_agg((ord + 1) || '. ' || t || chr(10) || chr(10) || 'kop ' || note_id || chr(10) || chr(10) || note_id, chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
 def ruling_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Dutch rulings made of the notes: number cells before paragraphs in a section."""
-    return _wrapped(spark, d, "ruling", "<r><Description><title>Ruling</title></Description><uitspraak><section><title>Section</title>", "concat('<nr>', ord + 1, '.</nr><para>', {t}, '</para>')", "</section></uitspraak></r>")
+    return _wrapped(spark, d, "ruling", "<r><Description><title>Ruling</title></Description><uitspraak><section><title>Section</title>", "concat('<nr>', ord + 1, '.</nr><parablock><para>', {t}, '</para></parablock><bridgehead>kop ', note_id, '</bridgehead><list><listitem><para>', note_id, '</para></listitem></list>')", "</section></uitspraak></r>")
 
 
-@query(f"with {S_NOTE} select doc_id, '# BGH I. Senat — X 1/31' || chr(10) || chr(10) || '## Gründe' || chr(10) || chr(10) || string_agg((ord + 1) || '. ' || t, chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
+@query(f"with {S_NOTE} select doc_id, '# BGH I. Senat — X 1/31' || chr(10) || chr(10) || '## Titel ' || doc_id || chr(10) || chr(10) || '## Gründe' || chr(10) || chr(10) || string_agg((ord + 1) || '. ' || t, chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
 def rspdl_blocks(spark: SparkSession, d: str) -> DataFrame:
     """German decisions made of the notes: numbered paragraphs of a definition list, empty sections without heading."""
-    return _wrapped(spark, d, "german_xml", "<dokument><gertyp>BGH</gertyp><spruchkoerper>I. Senat</spruchkoerper><aktenzeichen>X 1/31</aktenzeichen><tenor></tenor><gruende>", "concat('<dl class=\"RspDL\"><dt>', ord + 1, '</dt><dd><p>', {t}, '</p></dd></dl>')", "</gruende></dokument>")
+    head = F.concat(F.lit("<dokument><gertyp>BGH</gertyp><spruchkoerper>I. Senat</spruchkoerper><aktenzeichen>X 1/31</aktenzeichen><titelzeile><dl><dt/><dd><p>Titel "), F.col("doc_id").cast("string"), F.lit("</p></dd></dl></titelzeile><tenor></tenor><gruende>"))
+    return _wrapped(spark, d, "german_xml", head, "concat('<dl class=\"RspDL\"><dt>', ord + 1, '</dt><dd><p>', {t}, '</p></dd></dl>')", "</gruende></dokument>")
 
 
 @query(f"with {S_NOTE} select doc_id, '# Tekst' || chr(10) || chr(10) || string_agg('## I. RECHTSPLEGING' || chr(10) || chr(10) || t, chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
@@ -562,19 +556,20 @@ def belgian_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _wrapped(spark, d, "belgian", "<table><tr><td>ECLI:BE:CASS:2031:ARR.1</td></tr></table><fieldset><legend title='Tekst'>Tekst van de beslissing</legend><div>leak", "concat('<p>I. RECHTSPLEGING<br>', {t}, '</p>')", "</div></fieldset>")
 
 
-@query(f"with {S_NOTE} select doc_id, '# Décision' || chr(10) || chr(10) || string_agg(replace(replace(t, '_', '\\_'), '*', '\\*'), chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
+@query(f"with {S_NOTE} select doc_id, '# Décision' || chr(10) || chr(10) || '## Titre ' || doc_id || chr(10) || chr(10) || string_agg(replace(replace(t, '_', '\\_'), '*', '\\*'), chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
 def council_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """French constitutional decisions made of the notes."""
-    return _wrapped(spark, d, "council", "<h1>Décision</h1><div class='field field-body'>", "concat('<p>', {t}, '</p>')", "</div>")
+    """French constitutional decisions made of the notes: title, full title, original text, and a field that is neither."""
+    head = F.concat(F.lit("<h1 class='title'>Décision</h1><div class='field field--name-field-titre-complet field__item'><p>Titre "), F.col("doc_id").cast("string"), F.lit("</p></div><div class='field field--name-field-other'><p>x</p></div><div class='field field--name-field-contenu-original field__item'>"))
+    return _wrapped(spark, d, "council", head, "concat('<p>', {t}, '</p>')", "</div>")
 
 
-@query(f"with {S_NOTE} select doc_id, string_agg(replace(replace(t, '_', '\\_'), '*', '\\*'), chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
+@query(f"with {S_NOTE} select doc_id, 'kept' || chr(10) || chr(10) || string_agg(replace(replace(t, '_', '\\_'), '*', '\\*'), chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
 def statute_anchor(spark: SparkSession, d: str) -> DataFrame:
     """One chapter of statutes made of the notes, without tools and notices."""
-    return _wrapped(spark, d, "statute", "<div id='regeling'><p>all</p><div id='Hoofdstuk1'><div class='article-actions'>x</div><p>Wijziging(en) zonder datum inwerkingtreding aanwezig.</p>", "concat('<p>', {t}, '</p>')", "</div></div>", "Hoofdstuk1")
+    return _wrapped(spark, d, "statute", "<div id='regeling'><p>all</p><div id='Hoofdstuk1'><div class='bar action--share'>x</div><div class='regeling-toestand-meldingen'>Geldend van 2031</div><span class='visually-hidden'>x</span><div class='transactions'><p>kept</p></div><p>Wijziging(en) zonder datum inwerkingtreding aanwezig.</p>", "concat('<p>', {t}, '</p>')", "</div></div>", "Hoofdstuk1")
 
 
-@query(f"with {S_NOTE} select doc_id, '# LGX — 1 O 2/31' || chr(10) || chr(10) || string_agg((ord + 1) || '. ' || t, chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
+@query(f"with {S_NOTE} select doc_id, '# LGX 1 O 2/31' || chr(10) || chr(10) || string_agg((ord + 1) || '. ' || t, chr(10) || chr(10) order by ord, note_id, t) || chr(10) as markdown from n group by doc_id")
 def absatz_pairs(spark: SparkSession, d: str) -> DataFrame:
     """German case records (JSON) made of the notes: number spans before paragraphs, the court from the ECLI."""
     key = F.struct("ord", "note_id", "text")
