@@ -71,9 +71,12 @@ def tables(fold: bool = True) -> dict[str, np.ndarray]:
         latin_of[ord(a)] = ord(b)
     if not fold:
         same = {}
+    split = np.zeros(sys.maxunicode + 1, bool)  # letters that fall into a look-alike letter and marks, when those are not folded here
     script = np.zeros(sys.maxunicode + 1, np.uint8)  # 1 within a word, 2 a Latin letter
     size = sys.maxunicode + 1
-    length, start, ccc = np.ones(size, np.uint8), np.full(size, -1, np.int32), np.zeros(size, np.uint8)
+    ccc = np.zeros(size, np.uint8)
+    # expansions into base and marks, and into composed letters for texts without marks
+    length, start = np.ones((2, size), np.uint8), np.full((2, size), -1, np.int32)
     data: list[int] = []
     pairs: dict[int, int] = {}
     for cp in itertools.chain(*map(range, *zip(*TABLED))):
@@ -99,11 +102,13 @@ def tables(fold: bool = True) -> dict[str, np.ndarray]:
             a, b = (int(x, 16) for x in two)
             if unicodedata.normalize("NFC", chr(a) + chr(b)) == ch:
                 pairs[a << 21 | b] = cp
-        if out != ch:
-            length[cp], start[cp] = len(out), len(data)
-            data += map(ord, out)
+        split[cp] = len(out) > 1 and any(latin_of[ord(x)] for x in out)
+        for kept, form in enumerate((out, unicodedata.normalize("NFC", out))):
+            if form != ch:
+                length[kept, cp], start[kept, cp] = len(form), len(data)
+                data += map(ord, form)
     keys = np.array(sorted(pairs), np.int64)
-    return {"length": length, "start": start, "data": np.array(data, np.uint32), "ccc": ccc, "pair": keys, "whole": np.array([pairs[k] for k in keys.tolist()], np.uint32), "latin": latin_of, "script": script}
+    return {"length": length, "start": start, "data": np.array(data, np.uint32), "ccc": ccc, "pair": keys, "whole": np.array([pairs[k] for k in keys.tolist()], np.uint32), "latin": latin_of, "script": script, "split": split}
 
 
 def _compose(points: np.ndarray, keep_ccc: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +167,9 @@ def _syllables(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _mixed_words(points: np.ndarray, bounds: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
     """Look-alike letters as Latin letters in words that have Latin letters, too."""
-    other = t["latin"][points]
-    if not other.any():
+    if not t["latin"][points[points >= 0x80]].any():
         return points
+    other = t["latin"][points]
     kind = t["script"][points]
     inside = kind > 0
     begins = inside.copy()
@@ -177,24 +182,43 @@ def _mixed_words(points: np.ndarray, bounds: np.ndarray, t: dict[str, np.ndarray
     return np.where(change, other, points).astype(np.uint32)
 
 
+def _expanded(points: np.ndarray, bounds: np.ndarray, t: dict[str, np.ndarray], kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each code point replaced by what the tables have for it."""
+    at = np.flatnonzero(points >= 0x80)  # ASCII stays
+    changed = at[t["start"][kept][points[at]] >= 0]
+    if not len(changed):
+        return points, bounds
+    source, sizes = t["start"][kept][points[changed]], t["length"][kept][points[changed]].astype(np.int64)
+    if (sizes == 1).all():
+        out = points.copy()
+        out[changed] = t["data"][source]
+        return out, bounds
+    length = np.ones(len(points), np.int64)
+    length[changed] = sizes
+    after = np.concatenate(([0], np.cumsum(length)))
+    out = np.repeat(points, length)
+    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(after[changed], sizes) + inner] = t["data"][np.repeat(source, sizes) + inner]
+    return out, after[bounds]
+
+
 def canonical_points(points: np.ndarray, bounds: np.ndarray, readable: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Canonical (or readable) code points and bounds of a batch."""
     if not len(points) or points.max() < 0x80:
         return points, bounds
     t = tables(not readable)
-    length = t["length"][points]
-    after = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
-    out = np.repeat(points, length)
-    source = np.repeat(t["start"][points], length)
-    changed = source >= 0
-    if changed.any():
-        inner = np.arange(len(out)) - np.repeat(after[:-1], length)
-        out[changed] = t["data"][source[changed] + inner[changed]]
-    bounds = after[bounds]
+    first = points, bounds
+    out, bounds = _expanded(points, bounds, t, 1)
+    wide = points[points >= 0x80]
+    marked = bool((t["ccc"][out[out >= 0x80]] > 0).any()) or readable and bool(t["split"][wide].any())
+    if marked:
+        out, bounds = _expanded(*first, t, 0)
     if readable and len(out):
         out = _mixed_words(out, bounds, t)
     if ((out >= 0x1100) & (out < 0x1200)).any():
         out, bounds = _syllables(out, bounds)
+    if not marked:
+        return out, bounds
     ccc = t["ccc"][out]
     ccc[bounds[:-1][bounds[:-1] < len(out)]] = 0  # a mark that begins a text has no base, and none across texts
     out, alive = _compose(out, ccc, t)

@@ -130,7 +130,10 @@ def cosines(points: np.ndarray, bounds: np.ndarray, model: Prototypes) -> tuple[
     """(rows × languages cosines, letters of each row)."""
     n = len(bounds) - 1
     gram, row, letters = trigrams(points, bounds)
-    dots = np.stack([np.bincount(row, model.table[gram, k], n) for k in range(model.table.shape[1])], 1) if n else np.zeros((0, model.table.shape[1]))
+    dots = np.zeros((n, model.table.shape[1]))
+    if len(row):
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))  # rows come in order
+        dots[row[begin]] = np.add.reduceat(model.table[gram], begin, axis=0)
     pair, count = np.unique(row.astype(np.int64) * SIZE**3 + gram, return_counts=True)
     norm = np.sqrt(np.bincount(pair // SIZE**3, count.astype(np.float64) ** 2, n) * DIMENSIONS) if n else np.zeros(0)
     return dots / np.maximum(norm, 1e-9)[:, None], letters
@@ -139,7 +142,7 @@ def cosines(points: np.ndarray, bounds: np.ndarray, model: Prototypes) -> tuple[
 # ---------------------------------------------------------------- sentences
 
 MONTH = r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)"
-END = re.compile(rf"(?:(?<!\d)[.!?…]|(?<=\d)[!?…]|(?<=\d)\.(?![ \n]+{MONTH}\b))[\"”’»)\]]*(?:[ \n]*»)?(?:\[\^[^\]]*\])*(?=\s|$)")
+END = re.compile(rf"[.!?…](?:(?<!\d\.)|(?![ \n]+{MONTH}\b))[\"”’»)\]]*(?:[ \n]*»)?(?:\[\^[^\]]*\])*(?=\s|$)")
 ABBREVIATION = re.compile(r"(?:\b(?:art|nr|no|bzw|vgl|sog|Abs|Nr|Art|Dr|Mr|Mrs|St|Sr|Sra|cf|p|pp|etc|i\.e|e\.g|o\.a|d\.w\.z|z\.B|M|Mme)|\b(?:vom|am|dem|den|zum|bis|seit|ab)[ \n]+\d{1,2}|\b\p{Lu})\.$".replace(r"\p{Lu}", "[A-Z]"))
 BLOCK = re.compile(r"\n[ \t]*\n+")
 NOT_PROSE = re.compile(r"^\s*(?:#{1,6}\s|\||[-*_=]{3,}\s*$|```)")
@@ -166,7 +169,9 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
         parts, quoted = [], False
         for line in text[begin:end].split("\n"):
             stop = position + len(line)
-            if NOT_PROSE.match(line):
+            if line[:1].isalpha():  # neither structure nor a marker
+                pass
+            elif NOT_PROSE.match(line):
                 if start < position:
                     parts.append((start, position, quoted))
                 start, quoted = stop + 1, False
@@ -183,7 +188,8 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
             piece = text[low:high]
             last = 0
             for m in END.finditer(piece):
-                if ABBREVIATION.search(piece, max(0, m.start() - 10), m.start() + 1):
+                at = m.start()
+                if not piece[at - 7 : at].isalpha() and ABBREVIATION.search(piece, max(0, at - 10), at + 1):  # seven letters are no abbreviation
                     continue
                 if m.end() > last:
                     inner = piece[last] in OPEN and piece[m.end() - 1] in CLOSE
@@ -204,17 +210,19 @@ class Segment(NamedTuple):
     whole: int  # full sentences
 
 
-def segments(spans: list[tuple[int, int, bool]], cosine: np.ndarray, letters: np.ndarray) -> tuple[int, float, list[Segment]]:
-    """(main language or -1, its confidence, segments) from the sentences of a document; number `OTHER` is none of the languages."""
-    if not len(spans) or not (letters > 0).any():
-        return -1, 0.0, []
+def judged(cosine: np.ndarray, letters: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best language of each sentence, whether it is sure by itself)."""
     best = cosine.argmax(1)
     top = np.partition(cosine, -2, axis=1)[:, -2:]
-    whole = np.array([w for _, _, w in spans])
     clear = (letters >= SHORT) & (whole | (letters >= FRAGMENT))
-    sure = clear & (top[:, 1] - top[:, 0] >= LEAD)
     best = np.where(clear & (top[:, 1] < STRANGE), OTHER, best)
-    sure |= best == OTHER
+    return best, clear & (top[:, 1] - top[:, 0] >= LEAD) | (best == OTHER)
+
+
+def segments(spans: list[tuple[int, int, bool]], cosine: np.ndarray, letters: np.ndarray, whole: np.ndarray, best: np.ndarray, sure: np.ndarray) -> tuple[int, float, list[Segment]]:
+    """(main language or -1, its confidence, segments) from the sentences of a document; number `OTHER` is none of the languages."""
+    if not len(spans) or not letters.any():
+        return -1, 0.0, []
     votes = np.bincount(best[sure], letters[sure], OTHER + 1)
     main = int(votes.argmax()) if votes.any() else int((cosine * letters[:, None]).sum(0).argmax())
 
@@ -318,15 +326,18 @@ def identify(df: DataFrame, id_column: str = "doc_id", column: str = "markdown",
         spans = [sentences(t) if t else [] for t in texts]
         pieces: list[str] = []
         for t, own in zip(texts, spans):
-            if t and NO_WORD.search(t):
+            if own and max(map(len, t.split())) > 30:
                 pieces += [NO_WORD.sub(" ", t[a:b]) for a, b, _ in own]
             else:
                 pieces += [t[a:b] for a, b, _ in own]
         cosine, letters = cosines(*canonical_points(*code_points(pa.array(pieces, pa.string())), True), sent.value)
+        whole = np.array([w for own in spans for _, _, w in own], bool)
+        best, certain = judged(cosine, letters, whole)
         main, sure, parts, at = [], [], [], 0
         for own in spans:
-            k, c, s = segments(own, cosine[at : at + len(own)], letters[at : at + len(own)])
-            at += len(own)
+            rows = slice(at, at + len(own))
+            k, c, s = segments(own, cosine[rows], letters[rows], whole[rows], best[rows], certain[rows])
+            at = rows.stop
             main.append(NAMES[k] if k >= 0 else None)
             sure.append(c if k >= 0 else None)
             parts.append([{"lang": NAMES[x.lang], "confidence": x.confidence, "begin": x.begin, "end": x.end, "sentences": x.whole} for x in s])
