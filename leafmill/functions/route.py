@@ -58,9 +58,9 @@ def celex(text: Column) -> Column:
         return F.coalesce(F.try_url_decode(raw), raw)
 
     def from_value(v: Column) -> Column:
-        return F.when(_has(v, rf"CELEX[:%]*3?{P.CELEX_CORE}"), F.coalesce(_first(v, f"({P.CELEX})", 1), v)).when(_has(v, f"^{P.CELEX}$"), v)
+        return F.when(_has(v, P.CELEX_NAMED), F.coalesce(_first(v, f"({P.CELEX})", 1), v)).when(_has(v, f"^{P.CELEX}$"), v)
 
-    labelled = _first(t, r"CELEX[:/]([0-9A-Z()]+)", 1)
+    labelled = _first(t, P.CELEX_BEHIND_NAME, 1)
     return F.upper(
         F.coalesce(
             F.when(_has(t, f"^{P.CELEX}$"), t),
@@ -124,6 +124,7 @@ def source_url(query: Column, lang: Column) -> Column:
         .when(found == "wetten", F.concat(F.lit("https://wetten.overheid.nl/"), statute_path(q)))
         .when((found == "national") & (country(q) == "BE"), F.concat(F.lit("https://juportal.be/content/"), ecli))
         .when((found == "national") & (country(q) == "FR"), council)
+        .when(found.isNull() & _has(q, P.ECLI_EU), F.concat(F.lit("http://publications.europa.eu/resource/ecli/"), F.url_encode(F.upper(_first(q, P.ECLI_EU)))))
         .when(found.isNull(), F.concat(F.lit("https://eur-lex.europa.eu/legal-content/"), language, F.lit("/TXT/HTML/?uri=CELEX:"), F.coalesce(eli_to_celex(q), celex(q))))
     )
 

@@ -83,9 +83,9 @@ def s_celex() -> str:
     def value(name: str) -> str:
         raw = f"replace(nullif(regexp_extract({S_QUERY_PART}, {q(f'(?:^|&){name}=([^&]+)')}, 1), ''), '+', ' ')"
         v = f"url_decode({raw})"
-        return f"case when {s_has(v, f'CELEX[:%]*3?{P.CELEX_CORE}')} then coalesce({s_first(v, f'({P.CELEX})', 1)}, {v}) when {s_has(v, f'^{P.CELEX}$')} then {v} end"
+        return f"case when {s_has(v, P.CELEX_NAMED)} then coalesce({s_first(v, f'({P.CELEX})', 1)}, {v}) when {s_has(v, f'^{P.CELEX}$')} then {v} end"
 
-    labelled = s_first(Q_, r"CELEX[:/]([0-9A-Z()]+)", 1)
+    labelled = s_first(Q_, P.CELEX_BEHIND_NAME, 1)
     return f"""upper(coalesce(case when {s_has(Q_, f'^{P.CELEX}$')} then {Q_} end, {value('uri')}, {value('CELEX')}, {value('celex')},
         case when {s_has(labelled, f'^{P.CELEX}$')} then {labelled} end, {s_first(Q_, f'/({P.CELEX_CORE})', 1)}))"""
 
@@ -145,7 +145,7 @@ S_LANG = f"upper(coalesce(nullif({s_strip('lang')}, ''), 'NL'))"
         when 'wetten' then 'https://wetten.overheid.nl/' || {S_PATH}
         when 'national' then case {S_COUNTRY} when 'BE' then 'https://juportal.be/content/' || {S_UPPER_ECLI}
             when 'FR' then 'https://www.conseil-constitutionnel.fr/decision/' || {s_first(S_UPPER_ECLI, P.ECLI_FR_COUNCIL, 1)} || '/' || replace({s_first(S_UPPER_ECLI, P.ECLI_FR_COUNCIL, 2)}, '.', '') || '.htm' end
-        when 'eurlex' then 'https://eur-lex.europa.eu/legal-content/' || {S_LANG} || '/TXT/HTML/?uri=CELEX:' || coalesce({S_ELI.replace('query', Q_)}, {s_celex()}) end as url from identifiers"""
+        when 'eurlex' then case when {s_has(Q_, P.ECLI_EU)} then 'http://publications.europa.eu/resource/ecli/' || url_encode(upper({s_first(Q_, P.ECLI_EU)})) else 'https://eur-lex.europa.eu/legal-content/' || {S_LANG} || '/TXT/HTML/?uri=CELEX:' || coalesce({S_ELI.replace('query', Q_)}, {s_celex()}) end end as url from identifiers"""
 )
 def derive_source_url(spark: SparkSession, d: str) -> DataFrame:
     """Address each request is fetched from."""
@@ -455,14 +455,16 @@ def sibling_pair(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with r as (select req_id, {s_strip("coalesce(query, '')")} as q, case when {s_strip("coalesce(query, '')")} = '' then 'missing_query' when coalesce({S_ROUTE}, 'eurlex') = 'eurlex' and {s_celex()} is null then 'no_identifier' end as error from identifiers),
+    f"""with r as (select req_id, {s_strip("coalesce(query, '')")} as q, case when {s_strip("coalesce(query, '')")} = '' then 'missing_query' when coalesce({S_ROUTE}, 'eurlex') = 'eurlex' and coalesce({s_celex()}, {S_ELI.replace('query', Q_)}, {s_first(Q_, P.ECLI_EU)}) is null then 'no_identifier' end as error from identifiers),
     k as (select error, count(*) as n from r group by error)
     select sum(n)::bigint as done, coalesce(sum(n) filter (where error is null), 0)::bigint as succeeded, coalesce(sum(n) filter (where error is not null), 0)::bigint as failed, coalesce(string_agg(error || ': ' || n, ', ' order by error || ': ' || n) filter (where error is not null), '') as errors from k"""
 )
 def batch_report(spark: SparkSession, d: str) -> DataFrame:
     """How many requests could be routed, and why others could not."""
     routed = convert.route_requests(table(spark, d, "identifiers"))
-    error = F.coalesce("error", F.when((F.col("source") == "eurlex") & R.celex(F.col("query")).isNull(), "no_identifier"))
+    q_ = F.col("query")
+    nothing = F.coalesce(R.celex(q_), R.eli_to_celex(q_), F.nullif(F.regexp_extract(q_, f"(?i){P.ECLI_EU}", 0), F.lit(""))).isNull()
+    error = F.coalesce("error", F.when((F.col("source") == "eurlex") & nothing, "no_identifier"))
     return assemble.tally(routed.select("req_id", error.isNull().alias("ok"), error.alias("error")))
 
 
