@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
-from leafmill.functions.text import strip
+from leafmill.functions.text import let, strip
 
 
 def _has(x: Column, pattern: str) -> Column:
@@ -37,8 +37,11 @@ def national_source(query: Column) -> Column:
 
 def route(query: Column) -> Column:
     """Source of a request; null for the union's own legislation and case law. The order of the tests is part of the meaning."""
-    q, low = strip(query), F.lower(strip(query))
-    ecli = _has(q, P.ECLI)
+    return let(strip(query), _route)
+
+
+def _route(q: Column) -> Column:
+    low, ecli = F.lower(q), _has(q, P.ECLI)
     return (
         F.when(_has(q, P.ECLI_ECHR) | F.contains(low, F.lit("hudoc.echr.coe.int")), "hudoc")
         .when(F.contains(low, F.lit("wetten.overheid.nl")) | _has(q, P.STATUTE), "wetten")
@@ -50,7 +53,10 @@ def route(query: Column) -> Column:
 
 def celex(text: Column) -> Column:
     """CELEX number of a bare identifier, of the query of a URL, or of its path."""
-    t = strip(text)
+    return let(strip(text), _celex)
+
+
+def _celex(t: Column) -> Column:
     query = F.regexp_extract(t, r"\?([^#]*)", 1)
 
     def parameter(name: str) -> Column:
@@ -110,15 +116,18 @@ def statute_path(query: Column) -> Column:
     return F.concat(F.upper(_first(query, P.STATUTE)), F.coalesce(F.concat(F.lit("/"), date), F.lit("")))
 
 
-def source_url(query: Column, lang: Column) -> Column:
-    """Where a request is fetched from; null where the source needs a search first."""
-    q = strip(query)
+def source_url(query: Column, lang: Column, found: Column | None = None) -> Column:
+    """Where a request is fetched from; null where the source needs a search first. found: what `route` says, if it is known."""
+    return let(F.struct(strip(query).alias("q"), lang.alias("lang"), (route(query) if found is None else found).alias("found")), _source_url)
+
+
+def _source_url(given: Column) -> Column:
+    q, lang, found = given["q"], given["lang"], given["found"]
     ecli = F.upper(_first(q, P.ECLI))
     council = F.concat(
         F.lit("https://www.conseil-constitutionnel.fr/decision/"), _first(ecli, P.ECLI_FR_COUNCIL, 1), F.lit("/"), F.replace(_first(ecli, P.ECLI_FR_COUNCIL, 2), F.lit("."), F.lit("")), F.lit(".htm")
     )
     language = F.upper(F.coalesce(F.nullif(strip(lang), F.lit("")), F.lit("NL")))
-    found = route(q)
     return (
         F.when(found == "rechtspraak", F.concat(F.lit("https://data.rechtspraak.nl/uitspraken/content?id="), ecli))
         .when(found == "wetten", F.concat(F.lit("https://wetten.overheid.nl/"), statute_path(q)))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(x: Column) -> Column:
     """x without white space at both ends (all Unicode white space, not only blanks)."""
     return F.regexp_replace(x, rf"\A{P.WS}+|{P.WS}+\z", "")

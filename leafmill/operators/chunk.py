@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import strip
+from leafmill.functions.text import let, strip
 
 
 def pack(pieces: Column, separator: str, limit: Column) -> Column:
@@ -37,10 +39,10 @@ def split_ladder(text: Column, limit: Column) -> Column:
 
     words = lambda x: refine(pack(F.split(x, " ", -1), " ", limit), lambda w: hard_slices(w, limit))
     lines = lambda x: refine(pack(F.split(x, "\n", -1), "\n", limit), words)
-    blocks = pack(F.split(text, "\n\n", -1), "\n\n", limit)
-    out = refine(F.when(F.size(blocks) == 0, F.array(text)).otherwise(blocks), lines)
+    whole = lambda parts: F.when(F.size(parts) == 0, F.array(text)).otherwise(parts)
+    out = let(refine(let(pack(F.split(text, "\n\n", -1), "\n\n", limit), whole), lines), whole)
     # a text within the limit that no empty piece leads is one chunk; the fold is for the others
-    return F.when((F.length(text) <= limit) & ~text.startswith("\n\n"), F.array(text)).when(F.size(out) == 0, F.array(text)).otherwise(out)
+    return F.when((F.length(text) <= limit) & ~text.startswith("\n\n"), F.array(text)).otherwise(out)
 
 
 def chunks_for(text: Column, limit: Column, no_chunk: Column) -> Column:

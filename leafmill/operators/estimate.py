@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import strip
@@ -47,6 +47,23 @@ def model_prices(models: DataFrame, catalogue: DataFrame) -> DataFrame:
     return models.join(priced, "model", "left").select("model", F.when(both, F.col("prompt")).alias("prompt"), F.when(both, F.col("completion")).alias("completion"))
 
 
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, id, prompt, completion) of a price catalogue: a JSON object with a list `data`, in one file."""
+    text = spark.read.text(path, wholetext=True)
+    rows = F.from_json("value", "data array<struct<id:string,pricing:struct<prompt:string,completion:string>>>")["data"]
+    return text.select(F.posexplode(rows).alias("ord", "e")).select("ord", "e.id", "e.pricing.prompt", "e.pricing.completion")
+
+
+def profile_for(kind: Column) -> Column:
+    """The profile proposed for a document of a kind."""
+    return F.when(kind == "caselaw", "caselaw").otherwise("generic")
+
+
+def shown_number(n: Column) -> Column:
+    """A whole number with points between thousands, as the interface shows it."""
+    return F.replace(F.format_number(n, 0), F.lit(","), F.lit("."))
+
+
 def with_cost(estimates: DataFrame, prices: DataFrame, available: bool = True) -> DataFrame:
     """Estimates (with a model column) and their cost; null where no price is known or no access is set up."""
     cost = F.col("input_tokens") * F.col("prompt") + F.col("output_tokens") * F.col("completion")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
 from leafmill.functions import route as R
 from leafmill.functions import text as T
 from leafmill.operators import assemble, chunk, clean, estimate, reflow
-from leafmill.session import spread
+from leafmill.session import spread, written
 from leafmill.session import table as read
-from leafmill.sources import convert
+from leafmill.sources import acquire, convert
 from leafmill.streaming import fence
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,10 +309,31 @@ def roman_headings(spark: SparkSession, d: str) -> DataFrame:
     return made.select("line", T.roman_heading(F.col("line")).alias("promoted"))
 
 
-# ---------------------------------------------------------------- chunks and estimates; a fold of arrays is too slow in SQL, see tests/test_chunk.py
+# ---------------------------------------------------------------- chunks and estimates
 
 
-@query()
+def s_pack(x: str, separator: str, limit: str, n: int) -> str:
+    """Pieces of x joined up to a limit, as a fold; n keeps the names of nested folds apart."""
+    joined = f"s{n}.open || {separator} || e{n}.open"
+    fold = f"""list_reduce(list_transform(string_split({x}, {separator}), lambda p{n}: {{'done': []::varchar[], 'open': p{n}}}), lambda s{n}, e{n}: case when s{n}.open = '' then {{'done': s{n}.done, 'open': e{n}.open}}
+        when length({joined}) > {limit} then {{'done': list_append(s{n}.done, s{n}.open), 'open': e{n}.open}} else {{'done': s{n}.done, 'open': {joined}}} end)"""
+    return f"list_transform([{fold}], lambda r{n}: case when r{n}.open <> '' then list_append(r{n}.done, r{n}.open) else r{n}.done end)[1]"
+
+
+def s_ladder(x: str, limit: str) -> str:
+    def refine(parts: str, n: int, finer: Callable[[str], str]) -> str:
+        return f"flatten(list_transform({parts}, lambda w{n}: case when length(w{n}) <= {limit} then [w{n}] else {finer(f'w{n}')} end))"
+
+    hard = lambda w: f"list_transform(range(1, length({w}) + 1, {limit}), lambda i: substring({w}, i, {limit}))"
+    words = lambda w: refine(s_pack(w, "' '", limit, 3), 3, hard)
+    lines = lambda w: refine(s_pack(w, "chr(10)", limit, 2), 2, words)
+    return refine(s_pack(x, "chr(10) || chr(10)", limit, 1), 1, lines)
+
+
+@query(
+    f"""with d as (select doc_id, {s_strip('markdown')} as t from md_documents where length({s_strip('markdown')}) > 0), c as (select doc_id, {s_ladder('t', str(SMALL))} as c from d)
+    select doc_id, (k - 1)::int as chunk_no, md5(c[k]) as chunk, length(c[k])::bigint as size from c, lateral (select unnest(range(1, len(c) + 1)) as k)"""
+)
 def split_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents at a small limit, as digests."""
     t = T.strip(F.col("markdown"))
@@ -320,14 +341,20 @@ def split_ladder(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(chunk.split_ladder(F.col("t"), F.lit(SMALL))).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.md5("c").alias("chunk"), F.length("c").cast("long").alias("size"))
 
 
-@query()
+S_CHUNKS = f"""j as (select d.doc_id, p.profile, p.output_ratio, p.prompt_chars, p.no_chunk, p.chunk_chars as most, {s_strip('d.markdown')} as t from md_documents d join profiles p on p.kind = d.kind where d.markdown is not null),
+    c as (select *, case when t = '' then []::varchar[] when no_chunk or most is null then [t] else {s_ladder('t', 'most')} end as c from j)"""
+S_ESTIMATE = f"""{S_CHUNKS}, e as (select doc_id, profile, len(c)::bigint as chunks, coalesce(list_sum(list_transform(c, lambda x: length(x))), 0) // 4 as content, prompt_chars // 4 as system, output_ratio from c),
+    est as (select doc_id, profile, chunks, (content + (system + 20) * chunks)::bigint as input_tokens, floor(content * output_ratio)::bigint as output_tokens from e)"""
+
+
+@query(f"with {S_CHUNKS} select doc_id, (case when len(c) > 0 then k - 1 end)::int as chunk_no, length(c[k])::bigint as size from c, lateral (select unnest(range(1, greatest(len(c), 1) + 1)) as k)")
 def chunks_for_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of all documents under the profile of their kind."""
+    """Chunks of all documents under the profile of their kind; a blank document has one row without a chunk."""
     parts = clean.chunk_table(table(spark, d, "md_documents"), table(spark, d, "profiles"))
     return parts.select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("size"))
 
 
-@query()
+@query(f"with {S_ESTIMATE} select * from est")
 def estimate_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and tokens of cleaning each document."""
     return estimate.estimate(table(spark, d, "md_documents"), table(spark, d, "profiles"))
@@ -348,7 +375,7 @@ def model_prices(spark: SparkSession, d: str) -> DataFrame:
     return estimate.model_prices(spark.sql(f"select * from {MODELS}"), spark.sql(f"select * from {PRICES}"))
 
 
-@query()
+@query(f"with {S_ESTIMATE} select profile, count(*) as docs, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, round(sum(input_tokens * 0.5::double + output_tokens * 1.0::double), 3) as cost from est group by profile")
 def estimate_cost(spark: SparkSession, d: str) -> DataFrame:
     """Cost of cleaning all documents by profile."""
     rows = estimate.estimate(table(spark, d, "md_documents"), table(spark, d, "profiles")).withColumn("model", F.lit("vendor/a:fast"))
@@ -581,11 +608,14 @@ def absatz_pairs(spark: SparkSession, d: str) -> DataFrame:
     return convert.convert(made.select("doc_id", F.lit("german_json").alias("format"), record.alias("content"), F.lit(None).cast("string").alias("ref")), ["doc_id"]).select("doc_id", "markdown")
 
 
-@query()
+@query(
+    f"""with {S_CHUNKS} select doc_id, case when len(c) > 0 then md5({s_strip("list_aggregate(list_filter(list_transform(c, lambda x: regexp_replace(x, ' {2,}', ' ', 'g')), lambda x: x <> ''), 'string_agg', chr(10) || chr(10))")} || chr(10)) end as markdown,
+        case when len(c) = 0 then 'nothing_to_clean' end as error from c"""
+)
 def clean_batch(spark: SparkSession, d: str) -> DataFrame:
     """Documents cleaned chunk by chunk by the offline cleaner and put together again, as digests."""
     done = clean.clean(table(spark, d, "md_documents"), table(spark, d, "profiles"))
-    return done.select("doc_id", F.md5("markdown").alias("markdown"))
+    return done.select("doc_id", F.md5("markdown").alias("markdown"), "error")
 
 
 @query("select doc_id, string_agg(text, chr(10) order by ord, note_id, text) as text from notes group by doc_id")
@@ -597,6 +627,166 @@ def stream_fence(spark: SparkSession, d: str) -> DataFrame:
     return fence.strip_pieces(pieces)
 
 
+# ---------------------------------------------------------------- guards and acquisition
+
+
+@query(
+    f"""with e as (select doc_id, coalesce(source, '') as s, kind, length(coalesce(markdown, '')) as n from md_documents), u as (select *, regexp_extract(s, '(https?://.*)$', 1) as url, case doc_id % 4 when 0 then 'caselaw' when 1 then 'obsidian' when 2 then 'x' end as p,
+        case doc_id % 5 when 0 then '' when 1 then ' https://m.example/v1/chat/completions ' when 2 then 'https://m.example/v1//' when 3 then 'https://m.example/completions' end as base, case doc_id % 3 when 0 then 'Unknown court' when 1 then ' ' else 'Hof' end as court, string_split(s, ' • ')[2] as ident from e)
+    select doc_id, regexp_matches(url, '(?i)^https?://') as web, case when p in ('generic', 'caselaw', 'obsidian') then p else 'generic' end as profile, case when kind = 'caselaw' then 'caselaw' else 'generic' end as proposed,
+        case when coalesce(base, '') = '' then 'https://default.example/v1' when doc_id % 5 = 1 then 'https://m.example/v1' when doc_id % 5 = 2 then 'https://m.example/v1' else 'https://m.example' end as base,
+        coalesce(lower(regexp_extract(s, '(\\.[^.]+)$', 1)) in ({', '.join(map(q, P.DECLARED))}), false) as declared, case when court = 'Hof' then court else nullif(string_split(coalesce(ident, ''), ':')[3], '') end as court,
+        case when n * 10 between 5000 and 190000 then n * 10 else 55000 end::int as chunk_tokens, case when n >= 1000 then (n // 1000) || '.' || lpad((n % 1000)::varchar, 3, '0') else n::varchar end as shown from u"""
+)
+def request_guards(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of addresses, profiles, bases, formats, courts and sizes, over values made from the documents."""
+    s = F.coalesce("source", F.lit(""))
+    n = F.length(F.coalesce("markdown", F.lit("")))
+    k3, k4, k5 = (F.col("doc_id") % k for k in (3, 4, 5))
+    profile = F.when(k4 == 0, "caselaw").when(k4 == 1, "obsidian").when(k4 == 2, "x")
+    base = F.when(k5 == 0, "").when(k5 == 1, " https://m.example/v1/chat/completions ").when(k5 == 2, "https://m.example/v1//").when(k5 == 3, "https://m.example/completions")
+    court = F.when(k3 == 0, "Unknown court").when(k3 == 1, " ").otherwise("Hof")
+    return table(spark, d, "md_documents").select(
+        "doc_id", R.is_web_url(F.regexp_extract(s, r"(https?://.*)$", 1)).alias("web"), R.profile_or_generic(profile).alias("profile"), estimate.profile_for(F.col("kind")).alias("proposed"), R.base_url(base, "https://default.example/v1").alias("base"),
+        R.is_declared_format(s).alias("declared"), R.court(court, F.nullif(F.split_part(s, F.lit(" • "), F.lit(2)), F.lit(""))).alias("court"), chunk.valid_chunk_tokens((n * 10).cast("string")).alias("chunk_tokens"), estimate.shown_number(n).alias("shown"),
+    )
+
+
+#: Texts of landed responses by the digest of their address: none (404), too short, long enough for most, long.
+LANDED = ("", "x", "lang " * 12, "lang genoeg " * 10)
+
+
+def _digest(url: Column) -> Column:
+    return F.conv(F.substring(F.md5(url), 1, 4), 16, 10).cast("int")
+
+
+def _zipped(text: str) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("d.xml"), f"<dokument><gruende><dl class='RspDL'><dt>1</dt><dd><p>{text}</p></dd></dl></gruende></dokument>")
+    return out.getvalue()
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The last delivery of each request; French courts that the tables invent become the two that are served, by number."""
+    court = F.when(F.col("req_id") % 3 == 0, "FR:CC:").when(F.col("req_id") % 3 == 1, "FR:CCASS:").otherwise("FR:CE:")
+    plain = F.when((F.col("req_id") % 3 == 1) & F.contains(F.col("query"), F.lit("FR:CCX:")), F.replace(F.col("query"), F.lit("."), F.lit(""))).otherwise(F.col("query"))
+    return assemble.latest_delivery(table(spark, d, "identifiers"), "req_id").withColumn("query", F.replace(plain, F.lit("FR:CCX:"), court))
+
+
+def _landed(spark: SparkSession, d: str) -> DataFrame:
+    """Responses to all look-ups and attempts of the requests, made from digests of their addresses."""
+    asked, versions = written(acquire.facts(_asked(spark, d)), "facts"), table(spark, d, "candidates")
+    n = _digest(F.col("url"))
+    looked = acquire.searches(asked).select("url", "ecli").distinct()
+    hit = F.concat(F.lit('{"results":[{"id":"'), n.cast("string"), F.lit('","ecli":"'), F.lower("ecli"), F.lit('"}]}'))
+    page = F.when(n % 3 == 0, F.concat(F.lit("<a href='x?doc.id=K"), n.cast("string"), F.lit("&y'>"))).when(n % 3 == 1, acquire.NO_HITS).otherwise("<form>")
+    answer = F.when(F.col("url").startswith(acquire.GERMAN_SEARCH), page).when(n % 2 == 0, hit).otherwise('{"results":[]}')
+    searched = looked.select("url", F.lit(200).alias("status"), F.encode(answer, "UTF-8").alias("content"))
+    plan = acquire.ladder(asked, versions, acquire.found_addresses(asked, searched)).select("url", "format").distinct()
+    text = F.element_at(F.array(*map(F.lit, LANDED)), n % 4 + 1)
+    forms = {
+        "html": ("<p>", "</p>"), "ruling": ("<x><uitspraak><para>", "</para></uitspraak></x>"), "statute": ("<div id='regeling'><div id='Hoofdstuk6'><p>", "</p></div></div>"), "belgian": ("<fieldset><legend>Tekst van de beslissing</legend><div><p>", "</p></div></fieldset>"),
+        "council": ("<div class='field--name-field-contenu-original'><p>", "</p></div>"), "cassation": ('{"text":"', '"}'), "german_json": ('{"content":"<p>', '</p>"}'),
+    }
+    body = F.coalesce(*(F.when(F.col("format") == k, F.encode(F.concat(F.lit(a), text, F.lit(b)), "UTF-8")) for k, (a, b) in forms.items()), F.element_at(F.array(*(F.lit(_zipped(t)) for t in LANDED)), n % 4 + 1))
+    return written(searched.unionByName(plan.select("url", F.when(n % 4 == 0, 404).otherwise(200).alias("status"), body.alias("content"))), "responses")
+
+
+S_UENC = "replace({x}, ':', '%3A')"
+S_DIGEST = "('0x' || substr(md5({x}), 1, 4))::int"
+
+
+@query(
+    f"""with l as (select *, row_number() over (partition by req_id order by arrived_at desc, query desc, lang desc nulls last, requested_at desc) as k from identifiers),
+    a as (select req_id, {s_strip("coalesce(replace(case when req_id % 3 = 1 and contains(query, 'FR:CCX:') then replace(query, '.', '') else query end, 'FR:CCX:', case req_id % 3 when 0 then 'FR:CC:' when 1 then 'FR:CCASS:' else 'FR:CE:' end), '')")} as query, {S_LANG} as lang from l where k = 1),
+    r as (select *, case when query <> '' then coalesce({S_ROUTE}, 'eurlex') end as src, {S_UPPER_ECLI} as ecli, {S_COUNTRY} as land, coalesce({s_celex()}, {S_ELI}) as celex, {S_PATH} as path, nullif(regexp_extract(query, '#(.*)$', 1), '') as part, upper({s_first('query', P.ECLI_EU)}) as eu,
+        upper({s_first('query', P.ECLI_ECHR)}) as human, nullif(regexp_extract(query, {q(P.ITEM_ID)}, 1), '') as item, {s_has('query', P.ECLI_FR_COUNCIL)} as council, coalesce({S_UPPER_ECLI} = upper({s_first('query', P.ECLI_FR_CASSATION)}), false) as cassation, {S_ISO} as wanted from a),
+    direct as (
+        select req_id, 1 as rank, '{acquire.ARCHIVE_ECLI}' || {S_UENC.format(x='eu')} as url, 81 as least, 'EUR-Lex (Cellar) • ' || eu || ' • ' || lang as label, null as part from r where src = 'eurlex' and eu is not null
+        union all select req_id, 1, '{acquire.ARCHIVE_CELEX}' || celex, 81, 'EUR-Lex (Cellar) • CELEX:' || celex || ' • ' || lang, null from r where src = 'eurlex' and eu is null and celex is not null
+        union all select req_id, 2, 'https://eur-lex.europa.eu/legal-content/' || lang || '/TXT/HTML/?uri=CELEX:' || celex, 1, 'EUR-Lex portal • CELEX:' || celex || ' • ' || lang, null from r where src = 'eurlex' and eu is null and celex is not null
+        union all select req_id, 1, 'https://data.rechtspraak.nl/uitspraken/content?id=' || ecli, 40, 'Rechtspraak.nl • ' || ecli, null from r where src = 'rechtspraak' and ecli is not null
+        union all select req_id, 1, 'https://wetten.overheid.nl/' || path, 40, 'wetten.overheid.nl • ' || path || coalesce(' #' || part, ''), part from r where src = 'wetten' and path is not null
+        union all select req_id, 1, '{acquire.HUMAN_RIGHTS}' || item, 40, 'HUDOC (EHRM) • ' || item, null from r where src = 'hudoc' and human is null and item is not null
+        union all select req_id, 1, 'https://juportal.be/content/' || ecli, 40, 'Juportal • ' || ecli, null from r where src = 'national' and land = 'BE' and ecli is not null
+        union all select req_id, 1, 'https://www.conseil-constitutionnel.fr/decision/' || regexp_extract(ecli, {q(P.ECLI_FR_COUNCIL)}, 1) || '/' || replace(regexp_extract(ecli, {q(P.ECLI_FR_COUNCIL)}, 2), '.', '') || '.htm', 40, 'Conseil constitutionnel • ' || ecli, null from r where src = 'national' and council),
+    v as (select r.req_id, r.human, c.itemid, c.ord, upper(coalesce(c.lang3, '')) as l3, case when upper(coalesce(c.lang3, '')) = r.wanted then 0 when upper(coalesce(c.lang3, '')) = 'ENG' then 1 when upper(coalesce(c.lang3, '')) = 'FRE' then 2 else 3 end as p
+        from r join candidates c on upper(c.ecli) = r.human where c.itemid is not null and c.itemid <> ''),
+    vb as (select *, row_number() over (partition by req_id, itemid order by p, ord, l3) as k from v),
+    human as (select req_id, row_number() over (partition by req_id order by p, ord, itemid) as rank, '{acquire.HUMAN_RIGHTS}' || itemid as url, 40 as least, 'HUDOC (EHRM) • ' || itemid || ' • ' || human as label, null as part from vb where k = 1),
+    asked as (
+        select req_id, 1 as rank, 'api' as w, '{acquire.GERMAN_API}?ecli=' || {S_UENC.format(x='ecli')} as url, ecli from r where src = 'national' and land = 'DE' union all select req_id, 2, 'page', '{acquire.GERMAN_SEARCH}' || {S_UENC.format(x='ecli')}, ecli from r where src = 'national' and land = 'DE'
+        union all select req_id, 1, 'french', '{acquire.CASSATION_API}search?query=' || {S_UENC.format(x='ecli')}, ecli from r where cassation),
+    dug as (select *, {S_DIGEST.format(x='url')} as n from asked where url is not null),
+    led as (
+        select req_id, rank, case w when 'api' then '{acquire.GERMAN_API}' || n || '/' when 'page' then '{acquire.GERMAN_ZIP}K' || n || '.zip' else '{acquire.CASSATION_API}decision?id=' || n end as url, 40 as least,
+            case w when 'api' then 'OpenLegalData' when 'page' then 'rechtsprechung-im-internet.de' else 'Judilibre' end || ' • ' || ecli as label, null as part from dug where case w when 'page' then n % 3 = 0 else n % 2 = 0 end),
+    t as (select *, {S_DIGEST.format(x='url')} % 4 as h from (select * from direct union all select * from human union all select * from led)),
+    o as (select *, case when h = 0 then 'status_404' when part is not null and part <> 'Hoofdstuk6' then 'not_found' when h < case least when 81 then 3 when 40 then 2 else 1 end then 'too_short' end as error from t),
+    b as (select req_id, min(rank) filter (where error is null) as best, arg_max(error, rank) filter (where error is not null) as why from o group by req_id)
+    select r.req_id, b.best::int as rank, o.label as source, case when o.label is null then null when starts_with(o.label, 'Rechtspraak.nl') or starts_with(o.label, 'HUDOC') or contains(o.label, 'CELEX:6') or {s_has('o.label', 'ECLI:[A-Z]{2}:')} then 'caselaw' else 'document' end as kind,
+        case when o.label is null then coalesce(case when r.query = '' then 'missing_query' when src = 'national' and land = 'FR' and not council and not cassation then 'court_not_served'
+            when src = 'eurlex' and eu is null and celex is null or src in ('rechtspraak', 'national') and ecli is null or src = 'wetten' and path is null or src = 'hudoc' and human is null and item is null then 'no_identifier' end, b.why, 'not_found') end as error
+    from r left join b on b.req_id = r.req_id left join o on o.req_id = r.req_id and o.rank = b.best and o.error is null"""
+)
+def acquire_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """The document each request gets from landed responses: which attempt, its label and kind, or why there is none."""
+    done = acquire.documents(_asked(spark, d), table(spark, d, "candidates"), _landed(spark, d))
+    return done.select("req_id", "rank", "source", "kind", "error")
+
+
+S_PARTS = """select req_id, '# Part ' || rank || chr(10) || chr(10) || ident as part, rank, coalesce(status, 0) as status from (select *, row_number() over (partition by req_id, rank order by arrived_at desc, status desc, text desc) as k from attempts) where k = 1"""
+
+
+@query(f"select req_id, string_agg(case when status = 200 then part end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as markdown from ({S_PARTS.replace('|| ident as part', '|| ident || chr(10) as part')}) group by req_id")
+def archive_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of several parts: a page of choices made of the attempts of each request, its parts fetched and joined."""
+    last = F.max_by(F.struct("status", "text", "ident"), F.struct(F.col("arrived_at"), F.col("status"), F.col("text"))).alias("p")
+    parts = table(spark, d, "attempts").groupBy("req_id", "rank").agg(last).select("req_id", "rank", "p.status", "p.ident")
+    address = F.concat(F.lit("http://publications.europa.eu/resource/cellar/"), F.col("req_id").cast("string"), F.lit("/DOC_"), F.col("rank").cast("string"))
+    link = F.concat(F.lit('<li><a href="'), address, F.lit('">'))
+    pages = parts.groupBy("req_id").agg(assemble.ordered_join(F.col("rank"), link, "").alias("html"))
+    url = F.concat(F.lit("http://x.example/"), F.col("req_id").cast("string"))
+    made = F.concat(F.lit("<h1>Part "), F.col("rank").cast("string"), F.lit("</h1><p>"), F.col("ident"))
+    landed = pages.select(url.alias("url"), F.lit(300).alias("status"), F.encode("html", "UTF-8").alias("content")).unionByName(parts.select(address.alias("url"), F.coalesce("status", F.lit(0)).alias("status"), F.encode(made, "UTF-8").alias("content")))
+    none = F.lit(None).cast("string")
+    plan = pages.select("req_id", F.lit(1).alias("rank"), url.alias("url"), F.lit("html").alias("format"), none.alias("ref"), F.lit(1).alias("least"), F.lit("label").alias("label"))
+    return acquire.tried(plan, landed).select("req_id", "markdown")
+
+
+@query(
+    """with n as (select req_id, rank, case when status is null then 202 when status = 200 then 200 else 202 end as status, row_number() over (partition by req_id order by rank, arrived_at, status) as n from attempts),
+    f as (select req_id, min(n) filter (where status <> 202) as a, max(n) as z from n where n <= 2 group by req_id)
+    select 'http://x.example/' || f.req_id as url, n.status, coalesce(a, z)::int as tries from f join n on n.req_id = f.req_id and n.n = coalesce(a, z)"""
+)
+def portal_poll(spark: SparkSession, d: str) -> DataFrame:
+    """What polling came to within two tries, with the attempts of each request as tries."""
+    by = Window.partitionBy("req_id").orderBy("rank", "arrived_at", F.col("status").asc_nulls_last())
+    tries = table(spark, d, "attempts").select(F.concat(F.lit("http://x.example/"), F.col("req_id").cast("string")).alias("url"), F.row_number().over(by).alias("try_no"), F.when(F.col("status") == 200, 200).otherwise(202).alias("status"))
+    return acquire.poll_outcome(tries, 2)
+
+
+@query(
+    f"""with n as (select doc_id, ord, note_id, trim(regexp_replace(text, {q(P.WS + '+')}, ' ', 'g')) as t from notes), l as (select doc_id, string_agg('| ' || note_id || ' | ' || replace(t, '|', '\\|') || ' |', chr(10) order by ord, note_id, t) as rows from n group by doc_id)
+    select doc_id, ext, case ext when '.csv' then 'Data • f' || doc_id || '.csv' when '.json' then 'Data • f' || doc_id || '.json' else 'f' || doc_id || ext end as source, case when ext in ('.csv', '.json') then '| note_id | text |' || chr(10) || '| --- | --- |' || chr(10) || rows || chr(10) end as markdown,
+        case ext when '.pdf' then 'unknown_format' when '.zzz' then 'undeclared_format' end as error from l, (values ('.csv'), ('.json'), ('.pdf'), ('.zzz')) as e(ext)"""
+)
+def file_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Data files made of the notes of a document as tables, and files no engine here can read."""
+    key = F.struct("ord", "note_id", "text")
+    quoted = F.concat(F.lit('"'), F.col("note_id"), F.lit('","'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    made = table(spark, d, "notes").groupBy("doc_id").agg(assemble.ordered_join(key, quoted, "\n").alias("csv"), F.to_json(F.transform(F.array_sort(F.collect_list(key)), lambda x: F.struct(x["note_id"].alias("note_id"), x["text"].alias("text")))).alias("json"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(e).alias("ext"), c.alias("body")) for e, c in ((".csv", F.concat(F.lit("note_id,text\n"), "csv")), (".json", F.col("json")), (".pdf", F.lit("%PDF")), (".zzz", F.lit("z"))))))
+    files = made.select("doc_id", kinds.alias("k")).select(F.concat(F.col("doc_id").cast("string"), "k.ext").alias("path"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), "k.ext").alias("filename"), F.encode("k.body", "UTF-8").alias("content"))
+    rows = convert.file_documents(files.select("path", "filename", convert.format_of(F.col("filename"), F.col("content")).alias("format"), "content", F.lit(None).cast("string").alias("ref")))
+    number = F.regexp_extract("path", r"^(\d+)", 1).cast("long")
+    return rows.select(number.alias("doc_id"), F.regexp_extract("path", r"(\.\w+)$", 1).alias("ext"), "source", "markdown", "error")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Requests routed, their first useful attempt, its text tidied and chunked, with tokens by source."""
     routed = convert.route_requests(assemble.latest_delivery(table(spark, d, "identifiers"), "req_id"))

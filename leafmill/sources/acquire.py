@@ -17,6 +17,7 @@ from leafmill.functions import patterns as P
 from leafmill.functions import route as R
 from leafmill.functions.text import anchor, strip
 from leafmill.operators.assemble import ordered_join, rank_candidates
+from leafmill.session import written
 from leafmill.sources.convert import convert, part_links, route_requests
 
 #: Least characters of a useful text, and of one from the archive (fixed values); the portal's text counts if it has any.
@@ -37,22 +38,40 @@ def _ecli(query: Column, pattern: str = P.ECLI) -> Column:
     return F.upper(F.nullif(F.regexp_extract(query, f"(?i){pattern}", 0), F.lit("")))
 
 
+def facts(requests: DataFrame) -> DataFrame:
+    """Requests with their source, address and all identifiers in them; every other step reads these columns."""
+    q = F.col("query")
+    return route_requests(requests).select(
+        "*",
+        _ecli(q).alias("ecli"),
+        R.country(q).alias("land"),
+        F.coalesce(R.celex(q), R.eli_to_celex(q)).alias("celex"),
+        _ecli(q, P.ECLI_EU).alias("union"),
+        _ecli(q, P.ECLI_ECHR).alias("human"),
+        _ecli(q, P.ECLI_FR_COUNCIL).alias("council"),
+        F.when(_ecli(q) == _ecli(q, P.ECLI_FR_CASSATION), _ecli(q)).alias("cassation"),
+        F.nullif(F.regexp_extract(q, P.ITEM_ID, 1), F.lit("")).alias("item"),
+        R.statute_path(q).alias("path"),
+        anchor(q).alias("part"),
+    )
+
+
 def request_headers(url: Column, lang: Column) -> Column:
     """Headers of a request by its address: the archive gives text only when asked for it, and parts only as HTML."""
     accept = F.when(F.contains(url, F.lit("/resource/cellar/")), "text/html").when(F.contains(url, F.lit("publications.europa.eu/resource/")), "application/xhtml+xml, text/html;q=0.9")
     return F.when(accept.isNotNull(), F.create_map(F.lit("Accept"), accept, F.lit("Accept-Language"), F.lower(lang)))
 
 
-def searches(requests: DataFrame) -> DataFrame:
-    """(req_id, step, url): the look-ups that national sources need before a document has an address."""
-    q, ecli = F.col("query"), _ecli(F.col("query"))
+def searches(known: DataFrame) -> DataFrame:
+    """(req_id, ecli, step, url): the look-ups that national sources need before a document has an address. known: rows of `facts`."""
+    ecli = F.col("ecli")
     german = F.array(F.concat(F.lit(GERMAN_API + "?ecli="), F.url_encode(ecli)), F.concat(F.lit(GERMAN_SEARCH), F.url_encode(ecli)))
-    french = F.array(F.concat(F.lit(CASSATION_API + "search?query="), F.url_encode(ecli)))
-    needed = F.when((R.route(q) == "national") & (R.country(q) == "DE"), german).when(q.rlike(f"(?i){P.ECLI_FR_CASSATION}"), french)
-    return route_requests(requests).where("error is null").select("req_id", F.posexplode(needed).alias("step", "url"))
+    french = F.array(F.concat(F.lit(CASSATION_API + "search?query="), F.url_encode("cassation")))
+    needed = F.when((F.col("source") == "national") & (F.col("land") == "DE"), german).when(F.col("cassation").isNotNull(), french)
+    return known.where("error is null").select("req_id", "ecli", F.posexplode(needed).alias("step", "url"))
 
 
-def found_addresses(requests: DataFrame, responses: DataFrame) -> DataFrame:
+def found_addresses(known: DataFrame, responses: DataFrame) -> DataFrame:
     """(req_id, step, found, outcome): the address each look-up leads to; outcome `none` is an answer, `retry` is not one.
 
     A page of the German search without a hit and without its own words for that is no answer: ask again.
@@ -62,23 +81,20 @@ def found_addresses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     decisions = F.from_json(body, "results array<struct<id:string,ecli:string>>")["results"]
     exact = F.get(F.filter(decisions, lambda d: F.upper(d["ecli"]) == F.col("ecli")), F.lit(0))["id"]
     document = F.nullif(F.regexp_extract(body, r"doc\.id=([\w-]+)", 1), F.lit(""))
-    asked = searches(requests).join(route_requests(requests).select("req_id", _ecli(F.col("query")).alias("ecli")), "req_id")
-    answered = asked.join(responses.select("url", "status", "content"), "url", "left")
+    answered = searches(known).join(responses.select("url", "status", "content"), "url", "left")
     german = F.col("url").startswith(GERMAN_SEARCH)
     found = F.when(F.col("status") != 200, None).when(german, F.concat(F.lit(GERMAN_ZIP), document, F.lit(".zip"))).when(F.col("url").startswith(GERMAN_API), F.concat(F.lit(GERMAN_API), first_case, F.lit("/"))).otherwise(F.concat(F.lit(CASSATION_API + "decision?id="), exact))
     outcome = F.when(found.isNotNull(), "found").when(F.col("status").isNull() | (F.col("status") != 200) | german & ~F.contains(body, F.lit(NO_HITS)), "retry").otherwise("none")
     return answered.select("req_id", "step", found.alias("found"), outcome.alias("outcome"))
 
 
-def ladder(requests: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
+def ladder(known: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
     """All attempts of all requests, best first.
 
     candidates: language versions of human-rights decisions (ecli, ord, itemid, lang3); found: rows of `found_addresses`.
     """
-    routed = route_requests(requests).where("error is null").withColumn("ecli", _ecli(F.col("query")))
-    q, lang, ecli = F.col("query"), F.col("lang"), F.col("ecli")
-    celex = F.coalesce(R.celex(q), R.eli_to_celex(q))
-    union = _ecli(q, P.ECLI_EU)
+    routed = known.where("error is null")
+    source, lang, ecli, celex, union, item, part, direct_url = (F.col(c) for c in ("source", "lang", "ecli", "celex", "union", "item", "part", "url"))
     archive, portal = "EUR-Lex (Cellar)", "EUR-Lex portal"
 
     def attempt(url: Column, format_: str, least: int, *label: Column | str, ref: Column | None = None) -> Column:
@@ -89,21 +105,18 @@ def ladder(requests: DataFrame, candidates: DataFrame, found: DataFrame) -> Data
         attempt(F.concat(F.lit(ARCHIVE_CELEX), celex), "html", USEFUL_ARCHIVE, archive, F.concat(F.lit("CELEX:"), celex), lang),
         attempt(F.concat(F.lit("https://eur-lex.europa.eu/legal-content/"), lang, F.lit("/TXT/HTML/?uri=CELEX:"), celex), "html", 1, portal, F.concat(F.lit("CELEX:"), celex), lang),
     )
-    part = anchor(q)
-    statute = F.concat_ws(" ", F.concat(F.lit("wetten.overheid.nl" + BULLET), R.statute_path(q)), F.concat(F.lit("#"), part))
-    item = F.nullif(F.regexp_extract(q, P.ITEM_ID, 1), F.lit(""))
-    council = R.source_url(q, lang)
+    statute = F.concat_ws(" ", F.concat(F.lit("wetten.overheid.nl" + BULLET), F.col("path")), F.concat(F.lit("#"), part))
     plan = (
-        F.when((F.col("source") == "eurlex") & union.isNotNull(), F.array(attempt(F.concat(F.lit(ARCHIVE_ECLI), F.url_encode(union)), "html", USEFUL_ARCHIVE, archive, union, lang)))
-        .when((F.col("source") == "eurlex") & celex.isNotNull(), by_celex)
-        .when((F.col("source") == "rechtspraak") & ecli.isNotNull(), F.array(attempt(council, "ruling", USEFUL, "Rechtspraak.nl", ecli, ref=ecli)))
-        .when((F.col("source") == "wetten") & R.statute_path(q).isNotNull(), F.array(attempt(council, "statute", USEFUL, statute, ref=part)))
-        .when((F.col("source") == "hudoc") & _ecli(q, P.ECLI_ECHR).isNull() & item.isNotNull(), F.array(attempt(F.concat(F.lit(HUMAN_RIGHTS), item), "html", USEFUL, "HUDOC (EHRM)", item)))
-        .when((F.col("source") == "national") & (R.country(q) == "BE") & ecli.isNotNull(), F.array(attempt(council, "belgian", USEFUL, "Juportal", ecli, ref=ecli)))
-        .when((F.col("source") == "national") & q.rlike(f"(?i){P.ECLI_FR_COUNCIL}"), F.array(attempt(council, "council", USEFUL, "Conseil constitutionnel", ecli)))
+        F.when((source == "eurlex") & union.isNotNull(), F.array(attempt(F.concat(F.lit(ARCHIVE_ECLI), F.url_encode(union)), "html", USEFUL_ARCHIVE, archive, union, lang)))
+        .when((source == "eurlex") & celex.isNotNull(), by_celex)
+        .when((source == "rechtspraak") & ecli.isNotNull(), F.array(attempt(direct_url, "ruling", USEFUL, "Rechtspraak.nl", ecli, ref=ecli)))
+        .when((source == "wetten") & F.col("path").isNotNull(), F.array(attempt(direct_url, "statute", USEFUL, statute, ref=part)))
+        .when((source == "hudoc") & F.col("human").isNull() & item.isNotNull(), F.array(attempt(F.concat(F.lit(HUMAN_RIGHTS), item), "html", USEFUL, "HUDOC (EHRM)", item)))
+        .when((source == "national") & (F.col("land") == "BE") & ecli.isNotNull(), F.array(attempt(direct_url, "belgian", USEFUL, "Juportal", ecli, ref=ecli)))
+        .when((source == "national") & F.col("council").isNotNull(), F.array(attempt(direct_url, "council", USEFUL, "Conseil constitutionnel", ecli)))
     )
     direct = routed.select("req_id", F.posexplode(plan).alias("rank", "a")).select("req_id", (F.col("rank") + 1).alias("rank"), "a.*")
-    asked = routed.select("req_id", _ecli(q, P.ECLI_ECHR).alias("ecli"), "lang").where("ecli is not null")
+    asked = routed.select("req_id", F.col("human").alias("ecli"), "lang").where("ecli is not null")
     versions = rank_candidates(candidates, asked).join(asked.select("req_id", "ecli"), "req_id")
     human = versions.select("req_id", F.col("place").alias("rank"), attempt(F.concat(F.lit(HUMAN_RIGHTS), F.col("itemid")), "html", USEFUL, "HUDOC (EHRM)", F.col("itemid"), ecli).alias("a")).select("req_id", "rank", "a.*")
     led = found.where("found is not null").join(routed.select("req_id", "ecli"), "req_id")
@@ -112,15 +125,12 @@ def ladder(requests: DataFrame, candidates: DataFrame, found: DataFrame) -> Data
     return direct.unionByName(human).unionByName(searched).select(*ATTEMPT)
 
 
-def unroutable(requests: DataFrame) -> DataFrame:
+def unroutable(known: DataFrame) -> DataFrame:
     """(req_id, error) of requests that no source can serve."""
-    q = F.col("query")
-    routed = route_requests(requests)
-    french = (F.col("source") == "national") & (R.country(q) == "FR") & ~q.rlike(f"(?i){P.ECLI_FR_COUNCIL}|{P.ECLI_FR_CASSATION}")
-    known = F.coalesce(_ecli(q, P.ECLI_EU), R.celex(q), R.eli_to_celex(q))
-    nothing = (F.col("source") == "eurlex") & known.isNull() | F.col("source").isin("rechtspraak", "national") & _ecli(q).isNull() | (F.col("source") == "wetten") & R.statute_path(q).isNull()
-    nothing = nothing | (F.col("source") == "hudoc") & _ecli(q, P.ECLI_ECHR).isNull() & ~q.rlike(P.ITEM_ID)
-    return routed.select("req_id", F.coalesce("error", F.when(french, "court_not_served").when(nothing, "no_identifier")).alias("error")).where("error is not null")
+    source, ecli = F.col("source"), F.col("ecli")
+    french = (source == "national") & (F.col("land") == "FR") & F.col("council").isNull() & F.col("cassation").isNull()
+    nothing = (source == "eurlex") & F.coalesce("union", "celex").isNull() | source.isin("rechtspraak", "national") & ecli.isNull() | (source == "wetten") & F.col("path").isNull() | (source == "hudoc") & F.coalesce("human", "item").isNull()
+    return known.select("req_id", F.coalesce("error", F.when(french, "court_not_served").when(nothing, "no_identifier")).alias("error")).where("error is not null")
 
 
 def part_addresses(attempts: DataFrame, responses: DataFrame) -> DataFrame:
@@ -161,16 +171,17 @@ def documents(requests: DataFrame, candidates: DataFrame, responses: DataFrame)
     """(req_id, rank, markdown, source, kind, error): the first useful attempt of each request, else why there is none.
 
     Texts do not pass through the choice: ranks and errors are aggregated, and the winner's text is joined by its rank.
+    Identifiers and conversions are written to the shared folder, as several steps read them.
     """
-    found = found_addresses(requests, responses)
-    rows = tried(ladder(requests, candidates, found), responses)
-    facts = F.struct("rank", "error")
+    known = written(facts(requests), "facts")
+    rows = written(tried(ladder(known, candidates, found_addresses(known, responses)), responses), "tried")
+    outcome = F.struct("rank", "error")
     chosen = rows.groupBy("req_id").agg(
-        F.min(F.when(F.col("error").isNull(), F.col("rank"))).alias("best"), F.min(F.when(F.col("stops"), F.col("rank"))).alias("stop"), F.max(F.when(F.col("error").isNotNull(), facts)).alias("last")
+        F.min(F.when(F.col("error").isNull(), F.col("rank"))).alias("best"), F.min(F.when(F.col("stops"), F.col("rank"))).alias("stop"), F.max(F.when(F.col("error").isNotNull(), outcome)).alias("last")
     )
     stopped = F.coalesce(F.col("stop") < F.col("best"), F.lit(False))
     ruled = chosen.select("req_id", F.when(~stopped, F.col("best")).alias("rank"), F.when(F.col("best").isNull() | stopped, F.coalesce(F.when(F.col("stop").isNotNull(), "not_in_language"), F.col("last.error"))).alias("why"))
-    asked = route_requests(requests).select("req_id").join(unroutable(requests).withColumnRenamed("error", "cannot"), "req_id", "left")
+    asked = known.select("req_id").join(unroutable(known).withColumnRenamed("error", "cannot"), "req_id", "left")
     texts = rows.where("error is null").select("req_id", "rank", "markdown", "label")
     done = asked.join(ruled, "req_id", "left").join(texts, ["req_id", "rank"], "left")
     return done.select("req_id", "rank", "markdown", F.col("label").alias("source"), F.when(F.col("label").isNotNull(), R.kind_for_source(F.col("label"))).alias("kind"), F.when(F.col("label").isNull(), F.coalesce("cannot", "why", F.lit("not_found"))).alias("error"))

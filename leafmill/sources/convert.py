@@ -156,13 +156,15 @@ def remote_files(responses: DataFrame, most: int = REMOTE_BYTES) -> DataFrame:
 def route_requests(requests: DataFrame) -> DataFrame:
     """Requests with their source, language and address; blank queries get an error."""
     query = strip(F.coalesce("query", F.lit("")))
-    return requests.select(
+    stripped = requests.select("req_id", query.alias("query"), F.upper(F.coalesce(F.nullif(strip("lang"), F.lit("")), F.lit("NL"))).alias("lang"))
+    found = stripped.select("*", R.route(F.col("query")).alias("found"))
+    return found.select(
         "req_id",
-        query.alias("query"),
-        F.upper(F.coalesce(F.nullif(strip("lang"), F.lit("")), F.lit("NL"))).alias("lang"),
-        F.when(query != "", F.coalesce(R.route(query), F.lit("eurlex"))).alias("source"),
-        F.when(query != "", R.source_url(query, F.col("lang"))).alias("url"),
-        F.when(query == "", "missing_query").alias("error"),
+        "query",
+        "lang",
+        F.when(F.col("query") != "", F.coalesce("found", F.lit("eurlex"))).alias("source"),
+        F.when(F.col("query") != "", R.source_url(F.col("query"), F.col("lang"), F.col("found"))).alias("url"),
+        F.when(F.col("query") == "", "missing_query").alias("error"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -56,29 +57,42 @@ def strip_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("doc_id").applyInPandas(one, "doc_id long, text string")
 
 
-def strip_streaming(pieces: DataFrame) -> DataFrame:
+def strip_streaming(pieces: DataFrame, patience: int = 600_000) -> DataFrame:
     """(doc_id, out_no, text) of a streaming table (doc_id, piece_no, piece, last): text as soon as it is safe.
 
-    State per document is the held text and a counter; it goes when the last piece has come.
+    A piece waits for those before it, also over micro-batches; a piece that was there already is dropped. State per
+    document is the held text, the waiting pieces and two counters. It goes when the last piece has come, or when none
+    has come for `patience` milliseconds: then what is held is given out with the waiting pieces in their order.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, begun, number = state.get if state.exists else ("", False, 0)
-        fence, out, ended = FenceStripper(text, begun), [], False
-        rows = pd.concat(list(batches)).sort_values("piece_no")
-        for piece, last in zip(rows["piece"], rows["last"]):
-            out.append(fence.feed(piece or ""))
-            ended |= bool(last)
+        text, begun, number, due, held, end = state.get if state.exists else ("", False, 0, 0, "[]", -1)
+        fence, out, waiting = FenceStripper(text, begun), [], {n: p for n, p in json.loads(held)}
+        if not state.hasTimedOut:
+            for rows in batches:
+                for n, piece, last in zip(rows["piece_no"].tolist(), rows["piece"], rows["last"]):
+                    if n >= due:
+                        waiting.setdefault(n, piece or "")
+                    end = n if last else end
+            while due in waiting:
+                out.append(fence.feed(waiting.pop(due)))
+                due += 1
+        else:
+            out += [fence.feed(waiting[n]) for n in sorted(waiting)]
+        ended = state.hasTimedOut or 0 <= end < due
         if ended:
             out.append(fence.finish())
-            state.remove()
         given = [o for o in out if o]
-        if not ended:
-            state.update((fence.text, fence.begun, number + len(given)))
+        if ended:
+            state.remove()
+        else:
+            state.update((fence.text, fence.begun, number + len(given), due, json.dumps(sorted(waiting.items())), end))
+            state.setTimeoutDuration(patience)
         if given:
             yield pd.DataFrame({"doc_id": [key[0]] * len(given), "out_no": range(number, number + len(given)), "text": given})
 
-    return pieces.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, out_no int, text string", "text string, begun boolean, number int", "append", GroupStateTimeout.NoTimeout)
+    kept = "text string, begun boolean, number int, due int, held string, end int"
+    return pieces.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, out_no int, text string", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def event_piece(line: Column) -> Column:
