@@ -1,49 +1,5 @@
 """Intermediate tables in the folder all executors share."""
 
-from __future__ import annotations
+from leafmill.session import release, shared_dir, written
 
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_paths: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where it is unset, a local one for a local session only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "leafmill-shared")
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: later reads neither recompute them nor depend on an executor.
-
-    Each call uses a folder of its own, so a re-run never meets the files of an earlier one. The folder stays until
-    `release`, at the latest until Python ends, because the result is read lazily.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _paths[path] = spark
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Removes all tables written so far; results that read them must have been used."""
-    for path, spark in list(_paths.items()):
-        try:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        except Exception:  # the session may be gone; the folder then goes with the shared folder
-            pass
-        _paths.pop(path, None)
-
-
-atexit.register(release)
+__all__ = ("release", "shared_dir", "written")
