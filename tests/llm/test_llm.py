@@ -84,42 +84,66 @@ def test_held_out_accuracy():
 # ---------------------------------------------------------------- p2
 
 
-@pytest.fixture(scope="module")
-def editor():
-    words = sorted({w.lower() for t in (NL, EN, DE, FR, ES) for w in re.findall(r"[^\W\d_]{3,}", t)})
-    return ocr.train_editor({w: 100 for w in words}, frozenset(["long-term"]), 200)
-
-
-def test_scan_noise(editor):
-    page = "# T\n\nThe cornrnittee refcrs back to the contested deci-\nsion of the municipality. There is no\n\nAnnual Title 2031\n\n- 4 -\n\nsign that the licencc was put under pres¬\nsure.\n\nAnnual Titlc 2031\n\n- 5 -\n\nThe duty is long-\nterm for day- and\nnight-time."
-    r = ocr.repair_text(page, editor)
-    assert r.defects() == ["hyphenation", "misread", "running_header", "page_number"]
-    assert "The committee refers back to the contested decision of the municipality. There is no sign that the licence was put under pressure." in r.text
-    assert "Title" not in r.text and "- 4 -" not in r.text and "day- and" in r.text
+CONFUSIONS = (("e", "c"), ("m", "rn"), ("a", "ä"), ("i", "!"), ("o", "0"), ("d", "cl"))
+PAGE = "# T\n\nThe c0mmittee refcrs back to the contested deci-\nsion of the municipality. There is no\n\nAnnual Title 2031\n\n- 4 -\n\nsign that the licencc was put under pres¬\nsure.\n\nAnnual Titlc 2031\n\n- 5 -\n\nThe duty is long-\nterm by day- and night-time; angle α with value ν, Москва. The o\ue000der is ca(cid:7)e.\n"
 
 
-def test_clean_text_has_no_defects(editor):
-    for text in (NL, EN, DE, FR, ES, "- 14 kinderen\n- 15 ouders\n\nIn 2031\nwas het zo.", "", "x"):
-        assert ocr.repair_text(text, editor).defects() == []
-
-
-def test_editor_on_garbled_words(editor):
-    """Held-out garbling of known words: most come back, none becomes another word."""
+@pytest.fixture(scope="module")
+def scanned(spark):
+    """Many documents, some with words garbled by known confusions, one page with everything, and awkward rows."""
+    rng = random.Random(5)
+    rows = [(k, t + " It is a long-term case of care.") for k in range(40) for t in (NL, EN, DE, FR, ES)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    for k in range(90):
+        words = rng.choice((NL, EN, DE, FR, ES)).split(" ")
+        rows.append((1000 + k, " ".join(ocr.garble(w, rng, 0.5 if rng.random() < 0.2 else 0.0, CONFUSIONS)[0] for w in words).replace(ocr.GLYPH, "")))
+    rows += [(2000, PAGE), (2001, None), (2002, " "), (2003, ""), (2004, "- 14 kinderen\n- 15 ouders\n\nIn 2031\nwas het zo."), (2005, NL), (2005, NL), (None, PAGE)]
+    return spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, markdown string, row string")
+
+
+def test_confusions_are_learned():
+    words = {w.lower(): 400 for t in (NL, EN, DE, FR, ES) for w in re.findall(r"[^\W\d_]{4,}", t)}
+    rng = random.Random(3)
+    reads = {ocr.garble(w, rng, 0.4, CONFUSIONS)[0]: 1 for w in [*words] * 6}
+    learned = ocr.learn_confusions(words, {r: n for r, n in reads.items() if r not in words})
+    assert set(CONFUSIONS) <= set(learned) and len(learned) <= len(CONFUSIONS) + 3
+    assert ocr.learn_confusions({}, {}) == () and ocr.learn_confusions(words, {"décision": 1, "zzzz": 1}) == ()
+
+
+def test_scan_noise(scanned):
+    got = ocr.repair(scanned).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == scanned.count()
+    text = by_id[2000].repaired
+    assert "The committee refers back to the contested decision of the municipality. There is no sign that the licence was put under pressure." in text
+    assert "Title" not in text and "- 4 -" not in text and "day- and" in text and "long-term" in text
+    assert "angle α with value ν, Москва" in text  # other scripts stay
+    assert by_id[2000].misread >= 3 and by_id[2000].joined == 2
+    assert by_id[2001].repaired is None and by_id[2002].repaired == "" and by_id[2003].repaired == ""
+    assert all(r.repaired == scanned_text and not r.misread for r in got if r.doc_id is not None and r.doc_id < 200 for scanned_text in [r.repaired])
+    assert sorted(map(str, ocr.repair(scanned, most=0).collect())) == sorted(map(str, got))  # decisions joined instead of sent
+
+
+def test_defects(spark, scanned):
+    got = {}
+    for r in ocr.defects(scanned).collect():
+        got.setdefault(r.doc_id, set()).add(r.defect)
+    everything = {"hyphenation", "misread", "running_header", "page_number"}
+    assert got[2000] == got[None] == everything
+    assert not [k for k in got if k is not None and (k < 1000 or 2000 < k < 2005)]
+    assert ocr.defects(empty(spark)).count() == 0 and ocr.repair(empty(spark)).count() == 0
+
+
+def test_editor_on_garbled_words():
+    """Held-out garbling of known words: the right word is among the readings, and nearly always the best of the known ones."""
+    words = sorted({w.lower() for t in (NL, EN, DE, FR, ES) for w in re.findall(r"[^\W\d_]{5,}", t)})
+    editor = ocr.train_editor(words, CONFUSIONS)
     rng = random.Random(99)
-    words = [w for w in editor.lexicon if len(w) >= 6]
-    right = wrong = 0
-    for w in words:
-        read, _ = ocr.garble(w, rng, 0.2)
-        if read != w and read not in editor.lexicon:
-            got = ocr.edit_word(read, editor)
-            right, wrong = right + (got == w), wrong + (got not in (w, None))
-    assert right / max(1, right + wrong) > 0.95 and right > 10
-
-
-def test_scan_noise_of_awkward_rows(spark, md):
-    got = {r.doc_id: r for r in ocr.repair(md).collect()}
-    assert got[900].repaired is None and got[902].repaired == "" and got[900].defects == []
-    assert ocr.defects(empty(spark)).count() == 0
+    made = [(w, ocr.garble(w, rng, 0.2, CONFUSIONS)[0]) for w in words for _ in range(3)]
+    made = [(w, r) for w, r in made if w != r and r not in words]
+    best = [max(((s, x) for s, x in found if x in words), default=(0, None))[1] for found in ocr.readings([r for _, r in made], editor)]
+    assert sum(b == w for b, (w, _) in zip(best, made)) > 0.95 * len(made) > 50
+    assert ocr.readings([], editor) == [] and ocr.readings(["x" * 500], editor)[0] == []
 
 
 # ---------------------------------------------------------------- p3
