@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import canon, langid, leak, mojibake, ocr, pack, pii, split, tokens
@@ -126,7 +127,40 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repair, p3_found, p3_pieces, p4_budget, p4_slices, p5_found, p5_repair, p6_found, p6_classes, p6_canonical, p7_found, p7_pack, p7_usage, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)}
 
+
+
+def _look_sql(x: str) -> str:
+    """The canonical form of problem 6 in SQL, with the replacements of its table: single characters by one translation, others one by one."""
+    table = canon.tables()
+    one, none, more = [], [], []
+    for cp in np.flatnonzero(table["start"][1] >= 0).tolist():
+        at, size = int(table["start"][1][cp]), int(table["length"][1][cp])
+        form = "".join(map(chr, table["data"][at : at + size].tolist()))
+        if size == 1:
+            one.append((chr(cp), form))
+        elif size == 0:
+            none.append(chr(cp))
+        elif cp < 0x2200 or 0xFB00 <= cp < 0xFB07:  # ligatures, digraphs and Roman numerals
+            more.append((chr(cp), form))
+    for a, b in more:
+        x = f"replace({x}, '{a}', '{b}')"
+    plain = "".join(b for _, b in one).replace("'", "''")
+    return f"nfc_normalize(translate({x}, '{''.join(a for a, _ in one)}{''.join(none)}', '{plain}'))"
+
+
+#: Words of an article or item in SQL: runs of letters or digits, commands skipped.
+_WORDS_SQL = r"list_filter(regexp_extract_all(lower({x}), '\\\\(?:[a-z]+\*?|(?s:.))|[\p{{L}}\p{{N}}]+'), lambda w: w[1] <> '\\')"
+
 SQL: dict[str, str] = {
+    "p6_found": f"""
+        with c as (select doc_id, markdown, {_look_sql('markdown')} as look from md_documents where markdown is not null),
+        v as (select * from c where length(regexp_replace(look, '[\\x00-\\x20\\x7f\\x{{80}}-\\x{{9f}}\\x{{2028}}\\x{{2029}}]', '', 'g')) >= 20)
+        select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.look = b.look where a.doc_id < b.doc_id and a.markdown <> b.markdown""",
+    "p8_found": f"""
+        with d as (select doc_id as id, {_WORDS_SQL.format(x='text')} as w from documents where text is not null), i as (select item_id as id, {_WORDS_SQL.format(x='text')} as w from eval_items where text is not null),
+        dg as (select id, array_to_string(w[k : k + 11], ' ') as g from d, lateral (select unnest(range(1, len(w) - 10)) as k) where len(w) >= 12),
+        ig as (select distinct id, array_to_string(w[k : k + 11], ' ') as g from i, lateral (select unnest(range(1, len(w) - 10)) as k) where len(w) >= 12)
+        select distinct dg.id as doc_id, ig.id as item_id from dg join ig on dg.g = ig.g""",
     "p3_found": """
         with d as (
             select d.doc_id, d.markdown as t, p.chunk_chars as most
