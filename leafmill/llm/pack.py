@@ -78,7 +78,7 @@ def profiles(docs: DataFrame, id_column: str = "doc_id", column: str = "text", p
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         lookup, findall = info(path), pieces_pattern().findall
-        tokens, terms, freqs = [], [], []
+        tokens, flat, sizes = [], [], []
         for text in batch.column(1).to_pylist():
             total, own = 0, {}
             for piece, times in Counter(findall(text)).items():
@@ -87,10 +87,14 @@ def profiles(docs: DataFrame, id_column: str = "doc_id", column: str = "text", p
                 if term >= 0:
                     own[term] = own.get(term, 0) + times
             tokens.append(total)
-            order = sorted(own)
-            terms.append(order)
-            freqs.append([min(own[t], 32767) for t in order])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(freqs, pa.list_(pa.int16()))], names=["doc_id", "tokens", "terms", "freqs"])
+            sizes.append(len(own))
+            flat += own.items()
+        pairs = np.array(flat, np.int64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 0], np.repeat(np.arange(len(sizes)), sizes)))]
+        bounds = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32))
+        terms = pa.ListArray.from_arrays(bounds, pa.array(pairs[:, 0].astype(np.int32)))
+        freqs = pa.ListArray.from_arrays(bounds, pa.array(np.minimum(pairs[:, 1], 32767).astype(np.int16)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int32()), terms, freqs], names=["doc_id", "tokens", "terms", "freqs"])
 
     chosen = docs.where(F.col(column).isNotNull() & (F.col(column) != "")).select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"))
     return map_arrow(chosen, one, "doc_id long, tokens int, terms array<int>, freqs array<short>")
