@@ -110,6 +110,21 @@ def test_confusions_are_learned():
     assert ocr.learn_confusions({}, {}) == () and ocr.learn_confusions(words, {"décision": 1, "zzzz": 1}) == ()
 
 
+def test_page_furniture_of_made_up_documents():
+    """Held-out documents: nearly all candidate groups are told right, and no ordinary text has furniture."""
+    weights, rng, right, total = ocr.place_weights(), random.Random(77), 0, 0
+    for _ in range(400):
+        lines, marked = ocr.sample_page(rng)
+        gone = ocr.furniture(lines, weights).lines
+        for g in ocr.groups_of([x.strip() for x in lines]):
+            if len(g.found) > 1:
+                total += 1
+                right += (g.found[0][0] in gone) == (2 * sum(i in marked for i, _ in g.found) > len(g.found))
+    assert right > 0.95 * total > 100
+    for text in (NL, EN, DE, FR, ES, "1\n2\n3", "- 14\n- 15", "", "# A\n\nx\n\n# B\n\nx"):
+        assert ocr.furniture(text.split("\n"), weights) == ocr.Furniture(frozenset(), False, False), text
+
+
 def test_scan_noise(scanned):
     got = ocr.repair(scanned).collect()
     by_id = {r.doc_id: r for r in got}
