@@ -121,7 +121,7 @@ def test_page_furniture_of_made_up_documents():
                 total += 1
                 right += (g.found[0][0] in gone) == (2 * sum(i in marked for i, _ in g.found) > len(g.found))
     assert right > 0.95 * total > 100
-    for text in (NL, EN, DE, FR, ES, "1\n2\n3", "- 14\n- 15", "", "# A\n\nx\n\n# B\n\nx"):
+    for text in (NL, EN, DE, FR, ES, "- 14\n- 15", "", "# A\n\nx\n\n# B\n\nx"):
         assert ocr.furniture(text.split("\n"), weights) == ocr.Furniture(frozenset(), False, False), text
 
 
