@@ -244,6 +244,20 @@ def canonical_strings(column: pa.Array, readable: bool = False) -> pa.Array:
     return to_strings(*canonical_points(*code_points(column), readable), valid=np.asarray(column.is_valid()))
 
 
+def readable_texts(texts: list[str | None]) -> list[str | None]:
+    """Texts in readable form; only those that have anything to change are taken apart."""
+    points, bounds = code_points(pa.array(texts, pa.string()))
+    at = np.flatnonzero(points >= 0x80)
+    t = tables(False)
+    wide = points[at]
+    changed = (t["start"][1][wide] >= 0) | (t["ccc"][wide] > 0) | (t["latin"][wide] > 0) | t["split"][wide] | (wide >= 0x1100) & (wide < 0x1200)
+    rows = np.unique(np.searchsorted(bounds, at[changed], side="right") - 1).tolist()
+    out = list(texts)
+    for row, text in zip(rows, canonical_strings(pa.array([texts[r] for r in rows], pa.string()), True).to_pylist() if rows else ()):
+        out[row] = text
+    return out
+
+
 def canonicalize(df: DataFrame, column: str = "markdown", into: str = "canonical", readable_into: str = "readable") -> DataFrame:
     """df with the canonical form of `column` in `into` and its readable form in `readable_into` (replaced if there are such columns)."""
     at = df.columns.index(column)
