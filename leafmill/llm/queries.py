@@ -151,16 +151,23 @@ def _look_sql(x: str) -> str:
 #: Words of an article or item in SQL: runs of letters or digits, commands skipped.
 _WORDS_SQL = r"list_filter(regexp_extract_all(lower({x}), '\\\\(?:[a-z]+\*?|(?s:.))|[\p{{L}}\p{{N}}]+'), lambda w: w[1] <> '\\')"
 
+_LOOKS_SQL = f"""c as (select doc_id, markdown, {_look_sql('markdown')} as look from md_documents where markdown is not null and doc_id is not null),
+        v as (select * from c where length(regexp_replace(look, '[\\x00-\\x20\\x7f\\x{{80}}-\\x{{9f}}\\x{{2028}}\\x{{2029}}]', '', 'g')) >= 20)"""
+_LEAKS_SQL = f"""d as (select doc_id as id, {_WORDS_SQL.format(x='text')} as w from documents where text is not null), i as (select item_id as id, {_WORDS_SQL.format(x='text')} as w from eval_items where text is not null),
+        dg as (select id, array_to_string(w[k : k + 11], ' ') as g from d, lateral (select unnest(range(1, len(w) - 10)) as k) where len(w) >= 12),
+        ig as (select distinct id, array_to_string(w[k : k + 11], ' ') as g from i, lateral (select unnest(range(1, len(w) - 10)) as k) where len(w) >= 12),
+        leaks as (select distinct dg.id as doc_id, ig.id as item_id from dg join ig on dg.g = ig.g)"""
+
 SQL: dict[str, str] = {
     "p6_found": f"""
-        with c as (select doc_id, markdown, {_look_sql('markdown')} as look from md_documents where markdown is not null),
-        v as (select * from c where length(regexp_replace(look, '[\\x00-\\x20\\x7f\\x{{80}}-\\x{{9f}}\\x{{2028}}\\x{{2029}}]', '', 'g')) >= 20)
+        with {_LOOKS_SQL}
         select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.look = b.look where a.doc_id < b.doc_id and a.markdown <> b.markdown""",
-    "p8_found": f"""
-        with d as (select doc_id as id, {_WORDS_SQL.format(x='text')} as w from documents where text is not null), i as (select item_id as id, {_WORDS_SQL.format(x='text')} as w from eval_items where text is not null),
-        dg as (select id, array_to_string(w[k : k + 11], ' ') as g from d, lateral (select unnest(range(1, len(w) - 10)) as k) where len(w) >= 12),
-        ig as (select distinct id, array_to_string(w[k : k + 11], ' ') as g from i, lateral (select unnest(range(1, len(w) - 10)) as k) where len(w) >= 12)
-        select distinct dg.id as doc_id, ig.id as item_id from dg join ig on dg.g = ig.g""",
+    "p6_classes": f"""
+        with {_LOOKS_SQL}, t as (select distinct doc_id, look, markdown from v), g as (select look, min(doc_id) as class_id, count(*) as members from t group by look having count(distinct markdown) > 1),
+        e as (select look, markdown, count(*) as copies from t group by look, markdown)
+        select t.doc_id, g.class_id, g.members, g.members - e.copies as links from t join g on g.look = t.look join e on e.look = t.look and e.markdown = t.markdown""",
+    "p8_found": f"with {_LEAKS_SQL} select doc_id, item_id from leaks",
+    "p8_clean": f"with {_LEAKS_SQL} select a.* from documents a where not exists (select 1 from leaks l where l.doc_id = a.doc_id)",
     "p3_found": """
         with d as (
             select d.doc_id, d.markdown as t, p.chunk_chars as most
