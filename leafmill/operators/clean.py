@@ -134,31 +134,41 @@ def chunk_table(documents: DataFrame, profiles: DataFrame) -> DataFrame:
     return parts.withColumn("key", F.sha2(F.concat_ws("\x1f", "profile", "chunk"), 256))
 
 
-def clean_chunks(chunks: DataFrame, make: Callable[[], Cleaner], partitions: int | None = None, kept: DataFrame | None = None) -> DataFrame:
+def clean_chunks(chunks: DataFrame, make: Callable[[], Cleaner], partitions: int | None = None, kept: DataFrame | None = None, once: bool = False) -> DataFrame:
     """(doc_id, chunk_no, key, cleaned, error) of all chunks. `partitions` bounds the calls at a time.
 
-    Equal chunks under one profile are sent once. kept: (key, cleaned) of earlier runs; what it has is not sent again,
-    so write the result of each run and hand it in after a failure.
+    With `once`, or with kept results, equal chunks under one profile are sent once. kept: (key, cleaned) of earlier
+    runs; what it has is not sent again, so write the result of each run and hand it in after a failure. Otherwise
+    chunks are sent where they are, without a shuffle.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cleaner = make()
-        for batch in batches:
-            cleaned: list[str | None] = []
-            errors: list[str | None] = []
-            for chunk, profile in zip(batch.column("chunk").to_pylist(), batch.column("profile").to_pylist()):
-                try:
-                    cleaned.append(cleaner(chunk, profile))
-                    errors.append(None)
-                except Exception as e:
-                    cleaned.append(None)
-                    errors.append(e.code if isinstance(e, CleaningError) else type(e).__name__)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cleaned, pa.string()), pa.array(errors, pa.string())], names=["key", "cleaned", "error"])
-
+    def cleaned_by(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cleaner = make()
+            for batch in batches:
+                cleaned: list[str | None] = []
+                errors: list[str | None] = []
+                for chunk, profile in zip(batch.column("chunk").to_pylist(), batch.column("profile").to_pylist()):
+                    text = error = None
+                    try:
+                        if chunk is None:
+                            raise CleaningError("nothing_to_clean")
+                        text = cleaner(chunk, profile)
+                    except Exception as e:
+                        error = e.code if isinstance(e, CleaningError) else type(e).__name__
+                    cleaned.append(text)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(cleaned, pa.string()), pa.array(errors, pa.string())], names=[*names, "cleaned", "error"])
+
+        return run
+
+    spread = lambda df: df.repartition(partitions) if partitions else df
+    if kept is None and not once:
+        return spread(chunks.select("doc_id", "chunk_no", "key", "profile", "chunk")).mapInArrow(cleaned_by(["doc_id", "chunk_no", "key"]), "doc_id long, chunk_no int, key string, cleaned string, error string")
     work = chunks.where("chunk is not null").groupBy("key").agg(F.first("profile").alias("profile"), F.first("chunk").alias("chunk"))
     if kept is not None:
         work = work.join(kept.where("cleaned is not null").select("key"), "key", "left_anti")
-    done = (work.repartition(partitions) if partitions else work).select("key", "profile", "chunk").mapInArrow(run, "key string, cleaned string, error string")
+    done = spread(work).select("key", "profile", "chunk").mapInArrow(cleaned_by(["key"]), "key string, cleaned string, error string")
     if kept is not None:
         done = done.unionByName(kept.where("cleaned is not null").select("key", "cleaned", F.lit(None).cast("string").alias("error")).dropDuplicates(["key"]))
     rows = chunks.select("doc_id", "chunk_no", "key", F.col("chunk").isNull().alias("blank")).join(done, "key", "left")

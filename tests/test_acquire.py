@@ -209,6 +209,8 @@ def test_model_client(spark):
 
     got_ = {r.doc_id: (r.markdown, r.error) for r in clean.clean(docs, profiles, clean.model_cleaner(post, "v/m", "key")).collect()}
     assert got_ == {1: ("GOOD\n", None), 2: (None, "status_429"), 3: (None, "nothing_to_clean"), 4: ("GOOD\n", None)}
+    sent = clean.clean_chunks(clean.chunk_table(docs, profiles), clean.model_cleaner(post, "v/m", "key"), once=True)
+    assert {(r.doc_id, r.cleaned, r.error) for r in sent.collect()} == {(1, "GOOD", None), (2, None, "status_429"), (3, None, "nothing_to_clean"), (4, "GOOD", None)}
     assert {r.error for r in clean.clean(docs, profiles, clean.model_cleaner(post, "v/m", None)).where("doc_id < 3").collect()} == {"missing_key"}
 
 
