@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.arrowtext import map_arrow
 from leafmill.llm.tokens import VOCABULARY, PieceCounts, pieces_pattern, ship_vocabulary
-from leafmill.llm.store import written
+from leafmill.llm.store import together, written
 
 WINDOW = 4096
 #: Articles in a shard on average, buckets of hashed terms, and the share of a shard's articles above which a term is stored as a row of all.
@@ -256,10 +256,14 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def placed(vectors: DataFrame, idf: np.ndarray, parts: int) -> DataFrame:
+def drawn_sample(vectors: DataFrame) -> pa.Table:
+    """(terms, freqs, h) of the `SAMPLE` articles with the least hashes."""
+    return vectors.select("terms", "freqs", F.xxhash64("doc_id", "tokens", "terms").alias("h")).orderBy("h").limit(SAMPLE).toArrow()
+
+
+def placed(vectors: DataFrame, drawn: pa.Table, idf: np.ndarray, parts: int) -> DataFrame:
     """Profiles with their place in the order of topics and the part of the order they are in; parts are even by the sample."""
     spark = vectors.sparkSession
-    drawn = vectors.select("terms", "freqs", F.xxhash64("doc_id", "tokens", "terms").alias("h")).orderBy("h").limit(SAMPLE).toArrow()
     if not drawn.num_rows:
         return vectors.select("*", F.lit(0).cast("long").alias("place"), F.lit(0).alias("part"))
     sampled = drawn.combine_chunks().to_batches()[0]
@@ -297,10 +301,14 @@ def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, id_column: s
     spark = docs.sparkSession
     ship_vocabulary(spark, path)
     vectors = written(profiles(docs, id_column, column, path), "profiles").where("tokens > 0")
-    total = vectors.agg(F.count("*").alias("n"), F.avg(F.aggregate("freqs", F.lit(0), lambda a, f: a + f)).alias("mean")).first()
+    total, counted, drawn = together(
+        spark,
+        lambda: vectors.agg(F.count("*").alias("n"), F.avg(F.aggregate("freqs", F.lit(0), lambda a, f: a + f)).alias("mean")).first(),
+        lambda: vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow(),  # at most BUCKETS rows, whatever the corpus
+        lambda: drawn_sample(vectors),
+    )
     n, mean = total.n or 0, total.mean or 1.0
-    df = np.zeros(BUCKETS, np.int64)  # at most BUCKETS rows come back, whatever the corpus
-    counted = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+    df = np.zeros(BUCKETS, np.int64)
     df[np.array(counted["term"], np.int64)] = np.array(counted["count"], np.int64)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     sent = spark.sparkContext.broadcast(idf)
@@ -337,7 +345,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, id_column: s
             yield packed()
 
     parts = max(1, math.ceil(n / shard))
-    ordered = placed(vectors, idf, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("place")
+    ordered = placed(vectors, drawn, idf, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("place")
     return ordered.select("doc_id", "tokens", "terms", "freqs").mapInArrow(run, OUT)
 
 

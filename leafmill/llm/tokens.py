@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.arrowtext import map_arrow
 from leafmill.llm.labels import single_label
-from leafmill.llm.store import written
+from leafmill.llm.store import together, written
 
 #: A file of ranks: base64 of a token's bytes, blank, rank. TOKENIZER_FILE in the environment replaces it.
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -266,7 +266,9 @@ def with_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def budget(md_documents: DataFrame, documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(corpus, source, lang, domain, docs, chars, tokens): totals of every slice of both tables."""
-    parts = [with_tokens(d, path).withColumn("corpus", F.lit(name)) for name, d in (("md_documents", converted(md_documents)), ("documents", articles(documents)))]
+    spark = documents.sparkSession
+    ship_vocabulary(spark, path)
+    parts = together(spark, lambda: with_tokens(converted(md_documents), path).withColumn("corpus", F.lit("md_documents")), lambda: with_tokens(articles(documents), path).withColumn("corpus", F.lit("documents")))
     return parts[0].unionByName(parts[1]).groupBy("corpus", "source", "lang", "domain").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
 
 
