@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import math
 import re
 from collections import Counter
 from typing import NamedTuple
@@ -236,7 +237,7 @@ def known_contexts(df: DataFrame, column: str = "markdown") -> dict[str, int]:
 
 
 class Patterns(NamedTuple):
-    """The automaton over garbled contexts (garbled context → {pair: restored centre}), all counts, and characters that are right nearly everywhere."""
+    """The automaton over garbled contexts (garbled context → {pair: (restored centre, documents)}), all counts, and characters that are right nearly everywhere."""
 
     automaton: ahocorasick.Automaton
     known: dict[str, int]
@@ -245,16 +246,21 @@ class Patterns(NamedTuple):
 
 def context_patterns(known: dict[str, int]) -> Patterns:
     """Known contexts of two documents or more garbled by every pair; one must restore what is `MORE` times as common as itself."""
-    found: dict[str, dict[int, str]] = {}
     wanted = frozenset(targets())
-    for key, docs in known.items():
-        if docs < 2 or key[1] not in wanted:
-            continue
-        for p, (_, _, mapping) in enumerate(pairs()):
-            if (other := mapping.get(ord(key[1]))) is not None:
-                garbled = key[0] + other + key[2]
-                if known.get(garbled, 0) * MORE < docs:
-                    found.setdefault(garbled, {})[p] = key[1]
+
+    def made_from(sources: dict[str, int]) -> dict[str, dict[int, tuple[str, int]]]:
+        found: dict[str, dict[int, tuple[str, int]]] = {}
+        for key, docs in sources.items():
+            for p, (_, _, mapping) in enumerate(pairs()):
+                if (other := mapping.get(ord(key[1]))) is not None:
+                    garbled = key[0] + other + key[2]
+                    if known.get(garbled, 0) * MORE < docs:
+                        found.setdefault(garbled, {})[p] = key[1], docs
+        return found
+
+    sources = {key: docs for key, docs in known.items() if docs >= 2 and key[1] in wanted}
+    garbled_ones = made_from(sources)
+    found = made_from({key: docs for key, docs in sources.items() if key not in garbled_ones})  # what is garbled itself restores nothing
     out = ahocorasick.Automaton()
     for form, by in found.items():
         out.add_word(form, by)
@@ -270,17 +276,17 @@ def images() -> tuple[frozenset[str], ...]:
     return tuple(frozenset(m.values()) for _, _, m in pairs())
 
 
-#: Costs of a character in a passage: missed by its pair, beyond its pair; in no passage though a pattern fits, and else; of a change of passage.
-MISSED, BEYOND, LEFT, FREE, CHANGE = 1.0, 1.3, 0.9, 0.05, 1.6
+#: Costs of a character in a passage: restored to a context, less the more documents have that; missed by its pair, beyond its pair; in no passage though a pattern fits, and else; of a change of passage.
+DOUBT, MISSED, BEYOND, LEFT, FREE, CHANGE = 0.3, 1.0, 1.3, 0.9, 0.05, 1.6
 
 
-def passages(places: list[int], letters: list[str], hits: list[dict[int, str]]) -> list[tuple[int, list[int]]]:
+def passages(places: list[int], letters: list[str], hits: list[dict[int, tuple[str, int]]]) -> list[tuple[int, list[int]]]:
     """(pair, places in the list) of the passages: the cheapest assignment of the doubtful characters to pairs or to none."""
     used = sorted({p for h in hits for p in h})
     cost = np.zeros((len(places), len(used) + 1))
     for i, (ch, h) in enumerate(zip(letters, hits)):
         cost[i, -1] = LEFT if h else FREE
-        cost[i, :-1] = [0.0 if p in h else MISSED if ch in images()[p] else BEYOND for p in used]
+        cost[i, :-1] = [DOUBT / (1 + math.log2(h[p][1])) if p in h else MISSED if ch in images()[p] else BEYOND for p in used]
     best, back = cost[0] + np.r_[np.full(len(used), CHANGE / 2), 0], []
     for i in range(1, len(places)):
         far = best.min() + CHANGE
@@ -341,7 +347,7 @@ def undo_contexts(text: str, patterns: Patterns) -> tuple[str, int]:
         back = {v: chr(k) for k, v in pairs()[pair][2].items()}
         for i in found if len(found) < 3 else range(reach(own[0], -1, pair), reach(own[-1], 1, pair) + 1):  # a certain passage has its other characters from the pair, too
             if i in found or letters[i] in back and letters[i] not in LOOK_ALIKES:
-                out[places[i]] = hits[i].get(pair) or back[letters[i]]
+                out[places[i]] = hits[i][pair][0] if pair in hits[i] else back[letters[i]]
                 spans += 1
     return "".join(out), spans
 
