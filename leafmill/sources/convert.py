@@ -174,6 +174,24 @@ def acquire(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.withColumn("error", F.coalesce("error", F.when(F.col("status").isNull(), "no_response").when(F.col("status") != 200, F.concat(F.lit("status_"), F.col("status").cast("string")))))
 
 
+class Token:
+    """An access token, asked for again shortly before it expires. ask() gives the token and its seconds of life."""
+
+    def __init__(self, ask: Callable[[], tuple[str, float]], margin: float = 120, clock: Callable[[], float] = time.monotonic):
+        self.ask, self.margin, self.clock = ask, margin, clock
+        self.value, self.until = "", 0.0
+
+    def get(self) -> str:
+        if not self.value or self.clock() >= self.until:
+            self.value, life = self.ask()
+            self.until = self.clock() + life - self.margin
+        return self.value
+
+    def headers(self, key: str) -> dict[str, str]:
+        """Headers of a request that names its client as well."""
+        return {"Authorization": f"Bearer {self.get()}", "KeyId": key}
+
+
 #: Statuses after which a request is made again, how often, and the first pause in seconds, doubled each time (fixed values).
 RETRIED, RETRIES, PAUSE = frozenset((500, 502, 503, 504)), 2, 0.4
 

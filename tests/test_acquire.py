@@ -106,6 +106,19 @@ def test_polling_and_retries(spark):
     assert {(r.url, r.status, r.tries) for r in rows} == {("ok", 200, 1), ("busy", 200, 3), ("down", 0, 3)}
 
 
+def test_headers_and_tokens(spark):
+    urls = spark.createDataFrame([(acquire.ARCHIVE_CELEX + "3",), ("http://publications.europa.eu/resource/cellar/a/DOC_1",), ("https://x.example/",)], "u string")
+    got_ = [r.h for r in urls.select(acquire.request_headers(F.col("u"), F.lit("NL")).alias("h")).collect()]
+    assert got_ == [{"Accept": "application/xhtml+xml, text/html;q=0.9", "Accept-Language": "nl"}, {"Accept": "text/html", "Accept-Language": "nl"}, None]
+    now, asked = [0.0], []
+    token = convert.Token(lambda: (asked.append(1) or f"t{len(asked)}", 3600), clock=lambda: now[0])
+    assert token.get() == token.get() == "t1"
+    now[0] = 3479.0
+    assert token.headers("k") == {"Authorization": "Bearer t1", "KeyId": "k"}
+    now[0] = 3480.0
+    assert token.get() == "t2" and len(asked) == 2
+
+
 WORD = """<w:document xmlns:w="w"><w:body><w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t>Quay</w:t></w:r></w:p><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Scope</w:t></w:r></w:p>
 <w:p><w:r><w:t xml:space="preserve">It is </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>kept</w:t></w:r><w:r><w:t xml:space="preserve"> well.</w:t></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="0"/></w:numPr></w:pPr><w:r><w:t>one</w:t></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="1"/></w:numPr></w:pPr><w:r><w:t>two</w:t></w:r></w:p>
 <w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"""
