@@ -408,6 +408,29 @@ def test_leaks_equal_brute_force(spark):
     assert leak.without_leaks(df.where("doc_id is not null"), it, least).count() == len([d for d, _ in docs if d is not None and d not in {k for k, _ in want}])
 
 
+def test_long_items_in_many_copies(spark):
+    """An item of 1,500 words in 120 articles, each with another part of it: the longest match of each, and its place."""
+    words = [f"w{k}" for k in range(1500)]
+    spans = [(k * 7 % 900, 12 + k * 5) for k in range(120)]
+    docs = [(k, "before " + " ".join(words[a : a + n]) + " behind") for k, (a, n) in enumerate(spans)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.words, r.item_begin) for r in leak.matches(df, it).collect()}
+    assert got == {k: (min(n, 1500 - a), a) for k, (a, n) in enumerate(spans)}
+
+
+def test_versions_share_a_shard():
+    """Centroids of made-up topics: articles of one topic are next to each other in the order."""
+    rng = np.random.default_rng(3)
+    topics = [rng.choice(pack.BUCKETS, 60, replace=False) for _ in range(6)]
+    terms = [np.sort(rng.choice(topics[k % 6], 40, replace=False)).astype(np.int64) for k in range(300)]
+    flat, bounds = np.concatenate(terms), np.arange(301) * 40
+    freqs, idf = np.ones(len(flat), np.int64), np.ones(pack.BUCKETS, np.float32)
+    centroids = pack.fit_centroids(flat, freqs, bounds, idf, 24)
+    place = pack._places(flat, freqs, bounds, np.zeros(300, np.int64), centroids, idf)
+    order = np.argsort(place, kind="stable") % 6
+    assert (np.diff(order) == 0).mean() > 0.9
+
+
 # ---------------------------------------------------------------- p9
 
 LEX = pii.Lexicon(frozenset({"dunmarrow", "zwaluwkamp", "o'tarrigan", "veldhoorn"}), frozenset({"odette", "imelda", "femke"}))
