@@ -248,9 +248,10 @@ def segments(spans: list[tuple[int, int, bool]], cosine: np.ndarray, letters: np
     for i in range(len(lang) - 1, -1, -1):
         behind[i] = after
         after = lang[i] if lang[i] >= 0 else after
-    for i in range(len(lang)):  # an unsure sentence between two of one language is theirs, any other the main language's
+    for i in range(len(lang)):  # an unsure sentence between two of one language is theirs, any other its neighbours' or the main language's
         if lang[i] < 0:
-            lang[i] = lang[i - 1] if i and lang[i - 1] == behind[i] else main
+            near = [main, *(k for k in (lang[i - 1] if i else main, behind[i]) if k != OTHER)]
+            lang[i] = lang[i - 1] if i and lang[i - 1] == behind[i] else main if main == OTHER or letters[i] < SHORT else max(near, key=lambda k: cosine[i, k])
     out = []
     cut = np.flatnonzero(np.diff(lang)) + 1
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(lang)]):
