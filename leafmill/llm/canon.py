@@ -108,7 +108,14 @@ def tables(fold: bool = True) -> dict[str, np.ndarray]:
                 length[kept, cp], start[kept, cp] = len(form), len(data)
                 data += map(ord, form)
     keys = np.array(sorted(pairs), np.int64)
-    return {"length": length, "start": start, "data": np.array(data, np.uint32), "ccc": ccc, "pair": keys, "whole": np.array([pairs[k] for k in keys.tolist()], np.uint32), "latin": latin_of, "script": script, "split": split}
+    hard = ccc > 0  # code points whose text must be put in order and composed
+    hard[0x1100:0x1200] = True
+    if not fold:
+        hard |= (latin_of > 0) | split
+    for cp in np.flatnonzero(start[0] >= 0).tolist():
+        form = data[start[1, cp] : start[1, cp] + length[1, cp]] if start[1, cp] >= 0 else []
+        hard[cp] |= any(ccc[x] for x in form)
+    return {"hard": hard, "length": length, "start": start, "data": np.array(data, np.uint32), "ccc": ccc, "pair": keys, "whole": np.array([pairs[k] for k in keys.tolist()], np.uint32), "latin": latin_of, "script": script, "split": split}
 
 
 def _compose(points: np.ndarray, keep_ccc: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,22 +210,38 @@ def _expanded(points: np.ndarray, bounds: np.ndarray, t: dict[str, np.ndarray],
 
 
 def canonical_points(points: np.ndarray, bounds: np.ndarray, readable: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical (or readable) code points and bounds of a batch."""
+    """Canonical (or readable) code points and bounds of a batch.
+
+    Texts without marks, letters of Korean syllables and (for the readable form) look-alike letters take one gather;
+    the others are taken out of the batch, put in order and composed, and put back.
+    """
     if not len(points) or points.max() < 0x80:
         return points, bounds
     t = tables(not readable)
-    first = points, bounds
-    out, bounds = _expanded(points, bounds, t, 1)
-    wide = points[points >= 0x80]
-    marked = bool((t["ccc"][out[out >= 0x80]] > 0).any()) or readable and bool(t["split"][wide].any())
-    if marked:
-        out, bounds = _expanded(*first, t, 0)
+    at = np.flatnonzero(points >= 0x80)
+    rows = np.unique(np.searchsorted(bounds, at[t["hard"][points[at]]], side="right") - 1)
+    easy, easy_bounds = _expanded(points, bounds, t, 1)
+    if not len(rows):
+        return easy, easy_bounds
+    sizes = bounds[rows + 1] - bounds[rows]
+    inner = np.concatenate(([0], np.cumsum(sizes)))
+    hard, hard_bounds = _composed(points[np.repeat(bounds[rows] - inner[:-1], sizes) + np.arange(inner[-1])], inner, t, readable)
+    parts, done = [], 0
+    for k, row in enumerate(rows.tolist()):
+        parts += [easy[easy_bounds[done] : easy_bounds[row]], hard[hard_bounds[k] : hard_bounds[k + 1]]]
+        done = row + 1
+    parts.append(easy[easy_bounds[done] :])
+    lengths = np.diff(easy_bounds)
+    lengths[rows] = np.diff(hard_bounds)
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(lengths)))
+
+
+def _composed(points: np.ndarray, bounds: np.ndarray, t: dict[str, np.ndarray], readable: bool) -> tuple[np.ndarray, np.ndarray]:
+    out, bounds = _expanded(points, bounds, t, 0)
     if readable and len(out):
         out = _mixed_words(out, bounds, t)
     if ((out >= 0x1100) & (out < 0x1200)).any():
         out, bounds = _syllables(out, bounds)
-    if not marked:
-        return out, bounds
     ccc = t["ccc"][out]
     ccc[bounds[:-1][bounds[:-1] < len(out)]] = 0  # a mark that begins a text has no base, and none across texts
     out, alive = _compose(out, ccc, t)
@@ -249,8 +272,7 @@ def readable_texts(texts: list[str | None]) -> list[str | None]:
     points, bounds = code_points(pa.array(texts, pa.string()))
     at = np.flatnonzero(points >= 0x80)
     t = tables(False)
-    wide = points[at]
-    changed = (t["start"][1][wide] >= 0) | (t["ccc"][wide] > 0) | (t["latin"][wide] > 0) | t["split"][wide] | (wide >= 0x1100) & (wide < 0x1200)
+    changed = (t["start"][1][points[at]] >= 0) | t["hard"][points[at]]
     rows = np.unique(np.searchsorted(bounds, at[changed], side="right") - 1).tolist()
     out = list(texts)
     for row, text in zip(rows, canonical_strings(pa.array([texts[r] for r in rows], pa.string()), True).to_pylist() if rows else ()):
