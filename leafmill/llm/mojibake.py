@@ -248,19 +248,16 @@ def context_patterns(known: dict[str, int]) -> Patterns:
     """Known contexts of two documents or more garbled by every pair; one must restore what is `MORE` times as common as itself."""
     wanted = frozenset(targets())
 
-    def made_from(sources: dict[str, int]) -> dict[str, dict[int, tuple[str, int]]]:
-        found: dict[str, dict[int, tuple[str, int]]] = {}
-        for key, docs in sources.items():
+    made: dict[str, dict[int, str]] = {}
+    for key, docs in known.items():
+        if docs >= 2 and key[1] in wanted:
             for p, (_, _, mapping) in enumerate(pairs()):
                 if (other := mapping.get(ord(key[1]))) is not None:
                     garbled = key[0] + other + key[2]
                     if known.get(garbled, 0) * MORE < docs:
-                        found.setdefault(garbled, {})[p] = key[1], docs
-        return found
-
-    sources = {key: docs for key, docs in known.items() if docs >= 2 and key[1] in wanted}
-    garbled_ones = made_from(sources)
-    found = made_from({key: docs for key, docs in sources.items() if key not in garbled_ones})  # what is garbled itself restores nothing
+                        made.setdefault(garbled, {})[p] = key
+    # what is garbled itself restores nothing
+    found = {garbled: by for garbled, keys in made.items() if (by := {p: (key[1], known[key]) for p, key in keys.items() if key not in made})}
     out = ahocorasick.Automaton()
     for form, by in found.items():
         out.add_word(form, by)
