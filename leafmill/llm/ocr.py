@@ -18,9 +18,11 @@ corpus, as tables, and come back to the documents by joins.
 * Line joins: an averaged perceptron decides for each distinct break from what is known of both sides.
 
 Frequencies are relative everywhere (a correction is `RATIO` times as frequent as what was read), so nothing depends
-on the size of the corpus. The perceptrons are trained on the `TRAIN_WORDS` most frequent words, garbled by the
-confusions; those are learned from the same words and at most `SAMPLE_READS` rare ones, drawn by hash. Decisions are
-sent to the tasks of a repair only up to `BROADCAST_DECISIONS` rows; more are joined to the documents.
+on the size of the corpus. Confusions are learned from all frequent and all rare words, by a
+join. The character perceptron is trained on all frequent words, garbled by the confusions: shards of about `EXAMPLES`
+words each train one, and the weights are averaged. The one for line joins knows no words and is trained on made-up
+breaks. Decisions are sent to the tasks of a repair only up to `BROADCAST_DECISIONS` rows; more are joined to the
+documents.
 
 Repaired text is in readable form (see `canon`): letters of other scripts stay.
 
@@ -37,7 +39,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -49,7 +51,8 @@ from leafmill.llm.arrowtext import map_arrow
 from leafmill.llm.canon import readable_texts
 from leafmill.llm.store import together, written
 
-TRAIN_WORDS, SAMPLE_READS, EXAMPLES = 20_000, 100_000, 12_000
+#: Examples the character perceptron of a shard of words is trained on, at least; a shard has about as many words.
+EXAMPLES = 12_000
 #: A word in more than this share of all documents is never suspicious.
 RARE = 0.01
 #: A correction must be in so many times as many documents as what was read.
@@ -62,7 +65,10 @@ CID = re.compile(r"\(cid:\d+\)")
 MARKS = "-‐‑¬\xad"
 WORD = re.compile(rf"[^\W_]+(?:[!:{GLYPH}]+[^\W_]*)*|[!:{GLYPH}]+[^\W_]+(?:[!:{GLYPH}]*[^\W_]+)*{GLYPH}*")
 LETTER = re.compile(r"[^\W\d_]")
-READABLE = re.compile(rf"[a-zàâäáãåçéèêëíìîïñóòôöõúùûüýÿßœæ0-9!:{GLYPH}]+$")
+ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿßœæ"
+READABLE = re.compile(rf"[a-z{ACCENTED}0-9!:{GLYPH}]+$")
+#: Small Latin letters: what a lost character of a readable word can have been.
+LATIN = frozenset(ch for ch in map(chr, range(0x61, 0x250)) if ch.isalpha() and ch == ch.lower())
 
 
 # ---------------------------------------------------------------- furniture
@@ -404,6 +410,29 @@ def learn_confusions(words: dict[str, int], reads: dict[str, int]) -> tuple[tupl
     return tuple(pair for _, pair in sorted(kept, key=lambda x: (-x[0], x[1])))
 
 
+def cuts(word: Column, sizes: tuple[int, ...]) -> Column:
+    """(key: a word without a stretch of characters, cut: the stretch), one for each place and size."""
+    places = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.array(*(F.struct(i.alias("at"), F.lit(k).alias("size")) for k in sizes)))), lambda x: x["at"] + x["size"] <= F.length(word) + 1)
+    return F.transform(places, lambda x: F.struct(F.concat(F.substring(word, F.lit(1), x["at"] - 1), F.lit("\x1f"), F.substring(word, x["at"] + x["size"], F.length(word))).alias("key"), F.substring(word, x["at"], x["size"]).alias("cut")))
+
+
+def confusions_of(words: DataFrame, reads: DataFrame) -> tuple[tuple[str, str], ...]:
+    """`learn_confusions` of all (read, docs) of two tables, by a join: only the confusions come to the driver."""
+    written_ = words.where(F.length("read") >= 4).select(F.col("read").alias("word"), F.col("docs").alias("known"), F.inline(cuts(F.col("read"), (1, 2)))).withColumnRenamed("cut", "a")
+    misread = reads.where(F.length("read").between(4, 40) & ~F.contains(F.col("read"), F.lit(GLYPH))).select("docs", F.inline(cuts(F.col("read"), (1, 2, 3)))).withColumnRenamed("cut", "b")
+    ascii_ = lambda c: F.length(c) == F.octet_length(c)
+    bare = "".join(unicodedata.normalize("NFD", ch)[0] for ch in ACCENTED)
+    a, b = F.col("a"), F.col("b")
+    plain = (ascii_(a) | ~b.rlike(r"^\p{L}+$")) & (ascii_(b) | (F.length(a) == 1) & (F.length(b) == 1) & (F.translate(b, ACCENTED, bare) == a))
+    apart = (F.left(a, F.lit(1)) != F.left(b, F.lit(1))) & (F.right(a, F.lit(1)) != F.right(b, F.lit(1))) & ~((F.length(a) == 2) & (F.length(b) == 2))
+    # a plan by the size of the words would send the many more cuts to all tasks
+    seen = written_.hint("merge").join(misread, "key").where((F.col("known") >= RATIO * F.col("docs")) & plain & apart).select("a", "b", "word").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    seen = written(seen, "confusions")
+    best = seen.agg(F.max("n").alias("best")).first().best or 0
+    kept = seen.where(F.col("n") >= SUPPORT_SHARE * best).collect()
+    return tuple((r.a, r.b) for r in sorted(kept, key=lambda r: (-r.n, r.a, r.b)))
+
+
 def garble(word: str, rng: random.Random, rate: float, confusions: tuple[tuple[str, str], ...]) -> tuple[str, list[str | None]]:
     """(a word as recognition may read it, for each character read what it stands for; None for itself)."""
     read, stands = "", []
@@ -426,22 +455,68 @@ def garble(word: str, rng: random.Random, rate: float, confusions: tuple[tuple[s
     return read, stands
 
 
-def train_editor(words: list[str], confusions: tuple[tuple[str, str], ...], seed: int = 11) -> Editor:
-    """Both perceptrons, from frequent words."""
+def outputs_of(letters: Iterable[str], confusions: tuple[tuple[str, str], ...]) -> tuple[str | None, ...]:
+    """The classes of the character perceptron: keep, delete, and what a character can stand for."""
+    return (None, "", *sorted({a for a, _ in confusions} | LATIN.intersection(letters)))
+
+
+def char_weights(words: list[str], confusions: tuple[tuple[str, str], ...], outputs: tuple[str | None, ...], seed: int = 11) -> np.ndarray:
+    """The character perceptron of words; every word is an example, few words are several."""
     rng = random.Random(seed)
-    outputs: list[str | None] = [None, "", *sorted({a for a, _ in confusions} | set("".join(words)))]
     number = {o: i for i, o in enumerate(outputs)}
-    made = [garble(w, rng, 0.18 if k % 3 else 0.0, confusions) for k, w in zip(range(EXAMPLES if words else 0), itertools.cycle(words))]
+    made = [garble(w, rng, 0.18 if k % 3 else 0.0, confusions) for k, w in zip(range(max(EXAMPLES, len(words)) if words else 0), itertools.cycle(words))]
     labels = np.array([number.get(s, 0) for _, stands in made for s in stands], np.int64)
-    weights = averaged_perceptron(char_keys([r for r, _ in made])[0], labels, len(outputs), EDITS, epochs=3) if made else np.zeros((EDITS, len(outputs)), np.float32)
+    return averaged_perceptron(char_keys([r for r, _ in made])[0], labels, len(outputs), EDITS, epochs=3).astype(np.float32) if made else np.zeros((EDITS, len(outputs)), np.float32)
+
+
+@functools.cache
+def join_weights(seed: int = 11) -> np.ndarray:
+    """The perceptron of line joins, trained on made-up breaks; of the right half its features know the length alone."""
+    rng = random.Random(seed)
     pairs, answers = [], []
-    for k, word in zip(range(4000 if words else 0), itertools.cycle(words)):
-        right = word[len(word) // 2 :]
+    for k in range(4000):
+        right = "x" * (2 + k % 7)
         known = 2 if k % 5 else 1 if k % 2 else 0
         pairs += [join_keys(known, rng.choice("---‐‑¬\xad"), right, False, rng.random() < 0.3), join_keys(0 if k % 3 else 2, "-", right, True, True), join_keys(0, "-", rng.choice(sorted(CONNECTIVES)), False, True)]
         answers += [1, 0 if k % 3 else 1, 0]
-    joins = averaged_perceptron(np.array(pairs, np.int64), np.array(answers, np.int64), 2, JOINS) if pairs else np.zeros((JOINS, 2), np.float32)
-    return Editor(weights.astype(np.float32), tuple(outputs), joins, confusions)
+    return averaged_perceptron(np.array(pairs, np.int64), np.array(answers, np.int64), 2, JOINS)
+
+
+def train_editor(words: list[str], confusions: tuple[tuple[str, str], ...]) -> Editor:
+    """Both perceptrons, from words in memory."""
+    outputs = outputs_of("".join(words), confusions)
+    return Editor(char_weights(words, confusions, outputs), outputs, join_weights(), confusions)
+
+
+#: Rows of the weights that are averaged together.
+BLOCK = 1 << 10
+
+
+def trained_editor(words: DataFrame, confusions: tuple[tuple[str, str], ...]) -> Editor:
+    """`train_editor` of all (read, docs) of a table: shards of about `EXAMPLES` words are trained in tasks of their own, and their weights averaged."""
+    letters = words.select(F.explode(F.split("read", "")).alias("ch")).where(F.col("ch").isin(*LATIN)).distinct()
+    count, found = together(words.sparkSession, words.count, letters.collect)
+    outputs, shards = outputs_of([r.ch for r in found], confusions), max(1, -(-count // EXAMPLES))
+
+    def train(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["read"].to_pylist(), table["docs"].to_pylist()), key=lambda r: (-r[1], r[0]))
+        shard = table["shard"][0].as_py()
+        weights = char_weights([r for r, _ in rows], confusions, outputs, 11 + shard)
+        blocks = [weights[at : at + BLOCK].tobytes() for at in range(0, EDITS, BLOCK)]
+        return pa.table({"block": pa.array(range(len(blocks)), pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int32()), "weights": pa.array(blocks, pa.binary())})
+
+    def average(table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK * len(outputs))
+        for _, weights in sorted(zip(table["shard"].to_pylist(), table["weights"].to_pylist())):
+            total += np.frombuffer(weights, np.float32)
+        return pa.table({"block": table["block"][:1], "weights": pa.array([(total / shards).astype(np.float32).tobytes()], pa.binary())})
+
+    each = words.select("read", "docs", F.pmod(F.xxhash64("read"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(train, "block int, shard int, weights binary")
+    means = each.groupBy("block").applyInArrow(average, "block int, weights binary").collect()
+    weights = np.zeros((EDITS, len(outputs)), np.float32)
+    for r in means:
+        weights[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.weights, np.float32).reshape(BLOCK, -1)
+    return Editor(weights, outputs, join_weights(), confusions)
 
 
 #: Changes of a word tried together at most, and changes to choose from, best first.
@@ -629,12 +704,8 @@ def decisions(pages: DataFrame) -> Decisions:
     frequent = letters.where(F.col("docs") >= 2).select(F.col("read").alias("word"), F.col("docs").alias("known"))
 
     def trained() -> Editor:
-        top, sampled = together(
-            spark,
-            lambda: {r.read: r.docs for r in letters.where((F.length("read") >= 3) & (F.col("docs") >= RATIO)).orderBy(F.desc("docs"), "read").limit(TRAIN_WORDS).collect()},
-            lambda: {r.read: r.docs for r in readable.orderBy(F.xxhash64("read")).limit(SAMPLE_READS).collect()},
-        )
-        return train_editor([*top], learn_confusions(top, sampled))
+        top = letters.where((F.length("read") >= 3) & (F.col("docs") >= RATIO))  # a correction is in RATIO times as many documents
+        return trained_editor(top, confusions_of(top, readable))
 
     def parted_words() -> DataFrame:
         """Words taken apart by a blank: both parts were read, and the rarer is rare beside the whole."""

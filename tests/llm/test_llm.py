@@ -110,6 +110,21 @@ def test_confusions_are_learned():
     assert ocr.learn_confusions({}, {}) == () and ocr.learn_confusions(words, {"décision": 1, "zzzz": 1}) == ()
 
 
+def test_all_words_are_learned_from(spark):
+    """Confusions seen only with words beyond the 20,000 most frequent are learned, as by brute force, and corrected."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdfglmnoprstuvy") for _ in range(8))
+    common = sorted({word() for _ in range(21_000)})
+    own, misread = ["jackets", "wakening", "tokener", "sikkens"], ["jacxets", "waxening", "toxener", "sixkens"]
+    rows = [(k, [*common, *(own if k < 8 else misread)]) for k in range(9)]
+    pages = spark.createDataFrame([(k, k, r, [], []) for k, r in rows], "row long, doc_id long, reads array<string>, compounds array<string>, breaks array<string>")
+    got = {r.read: r.word for r in ocr.decisions(pages).corrections.collect()}
+    assert got == dict(zip(misread, own))
+    words, reads = ({**dict.fromkeys(common[:300], 9), **dict.fromkeys(own, 8)}, {r: 1 for r in [*misread, "sikxens", *(w[:3] + "éx" + w[4:] for w in common[:9])]})
+    tables = [spark.createDataFrame([*x.items()], "read string, docs long") for x in (words, reads)]
+    assert ocr.confusions_of(*tables) == ocr.learn_confusions(words, reads) != ()
+
+
 def test_page_furniture_of_made_up_documents():
     """Held-out documents: nearly all candidate groups are told right, and no ordinary text has furniture."""
     weights, rng, right, total = ocr.place_weights(), random.Random(77), 0, 0
