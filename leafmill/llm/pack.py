@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrowtext import map_arrow
-from leafmill.llm.tokens import VOCABULARY, PieceCounts, pieces_pattern, ship_vocabulary
+from leafmill.llm.tokens import VOCABULARY, PieceCounts, pieces, ship_vocabulary
 from leafmill.llm.store import together, written
 
 WINDOW = 4096
@@ -77,11 +77,11 @@ def profiles(docs: DataFrame, id_column: str = "doc_id", column: str = "text", p
     """(doc_id, tokens, terms, freqs): exact tokens and the term vector of each article with text; one scan."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lookup, findall = info(path), pieces_pattern().findall
+        lookup = info(path)
         tokens, flat, sizes = [], [], []
         for text in batch.column(1).to_pylist():
             total, own = 0, {}
-            for piece, times in Counter(findall(text)).items():
+            for piece, times in Counter(pieces(text)).items():
                 n, term = lookup[piece]
                 total += n * times
                 if term >= 0:

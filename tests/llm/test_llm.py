@@ -270,6 +270,17 @@ def test_scores_are_bm25_of_all_terms():
         assert np.allclose(index.scores(seed, len(terms)), want, rtol=1e-4), seed
 
 
+def test_pieces_of_ordinary_text_need_no_far_ranges():
+    """Texts with and without characters beyond U+FFFF are cut as by the whole pattern; the latter by classes without ranges beyond."""
+    rng = random.Random(12)
+    kinds = ("aZé ß\n\t'sll 0९½", "中文ไทยÅ\ud7a3\uffff\u3000", "𝒜𐒠𝟘🙂\U0010ffff 'a1")
+    for k in range(600):
+        text = "".join(rng.choice(rng.choice(kinds[: 1 + k % 3])) for _ in range(rng.randrange(40)))
+        assert tokens.pieces(text) == tokens.pieces_pattern().findall(text) and "".join(tokens.pieces(text)) == text
+    assert max(map(ord, tokens.pieces_pattern(0xFFFF).pattern)) <= 0xFFFF and "\\U0001" not in tokens.pieces_pattern(0xFFFF).pattern
+    assert "\\U0001" in tokens.pieces_pattern().pattern
+
+
 # ---------------------------------------------------------------- p5
 
 
