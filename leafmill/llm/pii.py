@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 from typing import NamedTuple
 
@@ -44,6 +44,10 @@ GAP = r"(?:[ \t~]+(?:\n[ \t]*(?:%+[ \t]*)?)?|\n[ \t]*(?:%+[ \t]*)?)"
 UP, LOW = "A-ZÀ-ÖØ-ÞŒŠŽ", "a-zß-öø-ÿœšž"
 
 
+# A pattern that is searched for begins with the class of its first character, and what must not stand before it comes
+# behind that: the engine passes over other characters in one loop only if a class comes first.
+
+
 class Mention(NamedTuple):
     begin: int
     end: int
@@ -133,7 +137,7 @@ def emails(text: str) -> list[Mention]:
 
 SEP = r"(?:[ ~./\-–]|\\[ ,]|[ \t]?\n[ \t]*(?:%+[ \t]*)?(?:\(0\)[ ]?)?|[ ]?\(0\)[ ]?|\)[ ]?)"
 #: Groups of digits with one separator between two, with an international prefix or a leading bracket.
-RUN = re.compile(r"[+(]?\d+(?:" + SEP + r"\d+)*")
+RUN = re.compile(r"[+(\d](?:(?<=\d)\d*|\d+)(?:" + SEP + r"\d+)*")
 NOT_BEFORE = frozenset("_.$^{:@+-/\\=<>")
 PHONE_SHAPES = re.compile(
     r"""\+\d{1,3}[\s~.\-]*(?:\(0\))?[\d\s~./\-]{6,16}\d$      # international
@@ -153,8 +157,19 @@ NOT_ID = re.compile(r"(?:grant|record|isbn|issn|doi|plate|lot|coordinates|seed|c
 #: Groups of payment card numbers, and account numbers with country and check digits.
 CARD_GROUPS = re.compile(r"\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ \-])\d{6}\2\d{5}")
 CARD_CUES = re.compile(r"\b(?:card|visa|mastercard|amex|kreditkarte|creditcard|betaalkaart|carte|tarjeta|pan)\b[^\n]{0,30}$", re.IGNORECASE)
-IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")
+IBAN = re.compile(r"[A-Z](?<!\w.)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")
 LETTER_IDS = re.compile(r"(?<![\w\-])(?:[A-Z]{2}\d{7}|[A-Z]{1,2}" + SEP + r"?\d{2}" + SEP + r"?\d{2}" + SEP + r"?\d{2}" + SEP + r"?[A-Z]|[A-Z]\d{8}|[A-Z]{2}\d{6}[A-Z]?|(?=\w*\d\w*\d)[A-Z][A-Z0-9]{8}|\d{2}[A-Z]{2}\d{5}|[XYZ]-?\d{7}-?[A-Z])(?![\w\-])")
+#: Where one of them can begin, by its first character and what follows.
+LETTER_ID_BEGIN = re.compile(r"[A-Z\d](?<![\w\-].)(?:(?<=[A-Z])(?=[A-Z]?" + SEP + r"?\d{2}|-\d|[A-Z0-9]{8})|(?<=\d)(?=\d[A-Z]{2}\d))")
+
+
+def letter_ids(text: str) -> Iterator[re.Match[str]]:
+    """The matches of `LETTER_IDS`, tried only where one can begin."""
+    end = 0
+    for m in LETTER_ID_BEGIN.finditer(text):
+        if m.start() >= end and (found := LETTER_IDS.match(text, m.start())):
+            end = found.end()
+            yield found
 
 
 def _around(text: str, begin: int, end: int, before: int = 60, after: int = 40) -> tuple[str, str]:
@@ -218,7 +233,7 @@ def numbers(text: str) -> list[Mention]:
         elif score >= LEAST:
             out.append(Mention(begin, end, "idnum", score))
     out += [Mention(*m.span(), "iban", 8) for m in IBAN.finditer(text) if iban(m[0])]
-    for m in LETTER_IDS.finditer(text):
+    for m in letter_ids(text):
         prior, rest = _around(text, *m.span())
         score = 2 + 2 * bool(ID_CUES.search(prior) or ID_CUES.search(rest)) - 4 * bool(NOT_ID.search(prior))
         if score >= LEAST:
@@ -249,13 +264,13 @@ STEM = rf"(?:(?!Wohnung|Haus|Woning|Huis|Adresse|Anschrift|Reprints)(?:[{UP}][{L
 GERMANIC = re.compile(
     rf"(?<![\w\-]){STEM}{GAP}{NUM}(?:(?:{GAP})?(?:bus|Whg\.?|Apt\.?){GAP}\w+)?(?:,?{GAP}(?:[A-Z]{{1,2}}-)?(?:\d{{4}}{GAP}?[A-Z]{{2}}|\d{{5}}|\d{{4}}){GAP}{TOWN1}|,{GAP}{TOWN1}|{GAP}(?:te|in){GAP}{TOWN1}(?:,?{GAP}\d{{4}}{GAP}?[A-Z]{{2}})?)?"
 )
-HOUSE = re.compile(r"(?<![\w.])\d{1,5}(?!\d|\.\d)")
+HOUSE = re.compile(r"\d(?<![\w.].)\d{0,4}(?!\d|\.\d)")
 AHEAD = re.compile(rf"(?:[ ~\n%]*[NSEW]\.)?[^.;:\\]{{0,70}}?(?:\b{EN_WORDS}\b)|[^.;:\\]{{0,24}}?\b{FR_WORDS}(?![{LOW}])")
 #: Characters before a house number in which a street's name may begin; twice as many behind it end the address.
 NEAR = 120
 STREET_END = ("straat", "laan", "weg", "plein", "gracht", "kade", "dijk", "singel", "dreef", "hof", "pad", "steeg", "markt", "plantsoen", "park", "ring", "baan", "lei", "straße", "strasse", "str.", "gasse", "allee", "platz", "damm", "ufer", "steig", "stieg", "chaussee", "graben", "zeile", "reihe", "pfad", "winkel", "berg", "brücke", "tor", "wall")
 STREET_BEGIN = re.compile(rf"(?:Am|An der|An den|Im|In der|Auf der|Auf dem|Unter den|Unter der|Zum|Zur|Hinter der|Op de|Aan de|Aan het|Achter de|Bij de|Straße|Str\.|Strasse|Allee|Weg|Platz|Gasse|Ufer|Damm|Zeile|Reihe|Pfad|Steig|Ring|Markt){GAP}(?:[{UP}][{LOW}\-]+{GAP}){{0,2}}$")
-NOT_HOUSE = re.compile(r"(?:Table|Line|Algorithm|Step|Section|Figure|Fig\.|Eq\.|order|Ordnung|orde|ordre)[ ~]*$")
+NOT_HOUSE = ("Table", "Line", "Algorithm", "Step", "Section", "Figure", "Fig.", "Eq.", "order", "Ordnung", "orde", "ordre")
 
 
 def addresses(text: str) -> list[Mention]:
@@ -264,7 +279,7 @@ def addresses(text: str) -> list[Mention]:
     for h in HOUSE.finditer(text):
         at = h.start()
         before = text[max(0, at - NEAR) : at]
-        if NOT_HOUSE.search(before):
+        if before.removesuffix("\n").rstrip(" ~").endswith(NOT_HOUSE):
             continue
         near = text[h.end() : h.end() + 80]
         if near[:12].lstrip(" ,~\nabcdefBISTER%-")[:1].isalpha() and AHEAD.match(near):
@@ -285,10 +300,11 @@ def addresses(text: str) -> list[Mention]:
 
 PARTICLE = r"(?:van|von|de|der|den|ten|ter|zu|zum|zur|du|la|le|des|del|di|da|dos|el|al|af|av|vom|'t|op|te|in)"
 #: An initial and a surname, as author lists have them.
-AUTHOR = re.compile(rf"(?<![\w.])[{UP}]\.(?:[ ~\-]*[{UP}]\.)*[ ~]*((?:{PARTICLE}[ ~])*(?:[dDlLO]['’])?[{UP}][{LOW}{UP}'’\-]+)(?=,|\}}|\s*\\and\b|\s+(?:and|und|et|en|y|&)\s)")
-CAP = rf"(?:[dDlLO]['’])?[{UP}](?:[{LOW}]+|[{UP}]+)(?:['’\-](?:[{UP}]?[{LOW}]+|[{UP}]+))*"
+AUTHOR = re.compile(rf"[{UP}](?<![\w.].)\.(?:[ ~\-]*[{UP}]\.)*[ ~]*((?:{PARTICLE}[ ~])*(?:[dDlLO]['’])?[{UP}][{LOW}{UP}'’\-]+)(?=,|\}}|\s*\\and\b|\s+(?:and|und|et|en|y|&)\s)")
+CAP_REST = rf"(?:[{LOW}]+|[{UP}]+)(?:['’\-](?:[{UP}]?[{LOW}]+|[{UP}]+))*"
+CAP = rf"(?:[dDlLO]['’])?[{UP}]{CAP_REST}"
 #: Capitalised words, initials and particles in a row; what is a name among them the lexicon says.
-CHAIN = re.compile(rf"(?<![\w\\@.\-]){CAP}(?:,?(?:{GAP})(?:{CAP}|[{UP}]\.(?:-?[{UP}]\.)*|{PARTICLE}(?=[ ~\n])))+")
+CHAIN = re.compile(rf"[dl{UP}](?<![\w\\@.\-].)(?:(?<=[dDlLO])['’][{UP}]|(?<=[{UP}])){CAP_REST}(?:,?(?:{GAP})(?:{CAP}|[{UP}]\.(?:-?[{UP}]\.)*|{PARTICLE}(?=[ ~\n])))+")
 CHAIN_PART = re.compile(rf"{CAP}|[{UP}]\.(?:-?[{UP}]\.)*|[{LOW}'’]+")
 #: Titles, roles and words that begin sentences; never given names.
 NOT_GIVEN = frozenset(
